@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_rules
+from . import bpe, line_dedup, quality_rules, sharding, simhash, url_filter, winnow
 from .common import table
 
 
@@ -56,9 +56,52 @@ FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
 """
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("row.doc_id", "slot", "shard")
+
+
+def op2_sql() -> str:
+    of_slot = ",".join(sharding.SHARDS[i] for i in sharding.lookup_table())
+    return f"""
+WITH t AS (SELECT string_split('{of_slot}', ',') AS shards),
+d AS (SELECT doc_id, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT % {sharding.SIZE})::INTEGER AS slot FROM documents)
+SELECT doc_id, slot, shards[slot + 1] AS shard FROM d, t
+"""
+
+
+OP4_SQL = r"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(verdict, rhost, rpath) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+m AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
+      FROM p JOIN r ON (host = rhost OR suffix(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
+SELECT p.page_id, host, path, rule,
+       coalesce(verdict, CASE WHEN regexp_matches(host, '(^|\.)(casino-win|free-bets|cheap-pills|spam-farm|adult-x|ads-track)\.example\.(com|net|org)$') THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN m ON p.page_id = m.page_id
+"""
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", F.col("first").alias("kept"))
+
+
+def op8_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_sharding": op2_sharding,
+    "op4_url_filter": url_filter.op4_query,
     "op6_quality_rules": op6_quality_rules,
+    "op7_simhash": op7_simhash,
+    "op8_winnow": op8_winnow,
+    "op9_bpe": op9_bpe,
 }
 
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op6_quality_rules": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_sharding": op2_sql(), "op4_url_filter": OP4_SQL, "op6_quality_rules": OP6_SQL}
