@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, quality_rules, sharding, simhash, url_filter, winnow
+from . import bpe, line_dedup, mixing, quality_mil, quality_rules, sharding, simhash, toxicity, url_filter, winnow
 from .common import table
 
 
@@ -94,14 +94,40 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op3_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mil.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Weights of the languages in the mixture.
+TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
+
+
+def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, domain): the labelled documents with their language, as the table to learn domains from."""
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(labels.select("doc_id"), "doc_id", "left_semi")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rated, domains = mixing.mix(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), TARGETS)
+    return rated.select("doc_id", "tokens", *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)], "rate")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sharding": op2_sharding,
+    "op3_quality_mil": op3_quality_mil,
     "op4_url_filter": url_filter.op4_query,
+    "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash": op7_simhash,
     "op8_winnow": op8_winnow,
     "op9_bpe": op9_bpe,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_sharding": op2_sql(), "op4_url_filter": OP4_SQL, "op6_quality_rules": OP6_SQL}
