@@ -17,8 +17,11 @@ _FACTOR = 2862933555777941757
 _MASK = 0xFFFFFFFF
 
 
-def gen_key(parts: Sequence[Column], case_sensitive: bool = False, strict: bool = True) -> Column:
-    """The joined key. A missing part raises `badkey` if strict, and makes the key null otherwise."""
+def gen_key(parts: Sequence[Column], case_sensitive: bool = False, strict: bool | Column = True) -> Column:
+    """The joined key. A missing part raises `badkey` if strict, and makes the key null otherwise.
+
+    A column as `strict` tells for each row: the optimiser may evaluate a key before a filter that would drop its row.
+    """
     if not parts:
         return F.lit(None).cast("string")
     cased = [p if case_sensitive else F.lower(p) for p in parts]
@@ -26,7 +29,10 @@ def gen_key(parts: Sequence[Column], case_sensitive: bool = False, strict: bool
     for p in parts[1:]:
         missing = missing | p.isNull()
     joined = F.concat_ws(SEPARATOR, *cased)
-    absent = F.raise_error(F.lit("badkey")).cast("string") if strict else F.lit(None).cast("string")
+    absent = F.lit(None).cast("string")
+    if strict is not False:
+        wrong = F.raise_error(F.lit("badkey")).cast("string")
+        absent = wrong if strict is True else F.when(strict, wrong)
     return F.when(missing, absent).otherwise(joined)
 
 

@@ -94,7 +94,7 @@ class Index(ABC):
     def partition_identifiers(self, order: str = "asc") -> list[str]: ...
 
     @abstractmethod
-    def route(self, columns: Mapping[str, Column]) -> Column:
+    def route(self, columns: Mapping[str, Column], strict: bool | Column = True) -> Column:
         """The partition of a row."""
 
     @abstractmethod
@@ -112,7 +112,7 @@ class Index(ABC):
     def one(self) -> bool:
         """One value for each key, or a set of them."""
 
-    def leaves(self, rows: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    def leaves(self, rows: DataFrame, carry: Sequence[str] = (), strict: bool | Column = True) -> DataFrame:
         """The index row of each row; `carry` names further columns to keep."""
         for f in self.fields:
             if not isinstance(rows.schema[f].dataType, T.StringType):
@@ -120,10 +120,10 @@ class Index(ABC):
         col = {f: F.col(f) for f in self.fields}
         return rows.select(
             *carry,
-            self.route(col).alias("partition_id"),
-            F.coalesce(gen_key([col[f] for f in self.agg_fields()], self.case_sensitive), F.lit("")).alias("agg_key"),
-            gen_key([col[f] for f in self.index_by], self.case_sensitive).alias("index_key"),
-            F.coalesce(gen_key([col[f] for f in self.covered_fields], self.case_sensitive), F.lit("")).alias("value"),
+            self.route(col, strict).alias("partition_id"),
+            F.coalesce(gen_key([col[f] for f in self.agg_fields()], self.case_sensitive, strict), F.lit("")).alias("agg_key"),
+            gen_key([col[f] for f in self.index_by], self.case_sensitive, strict).alias("index_key"),
+            F.coalesce(gen_key([col[f] for f in self.covered_fields], self.case_sensitive, strict), F.lit("")).alias("value"),
             *[self._cased(col[f]).alias(f) for f in self.fields],
         )
 
@@ -144,7 +144,7 @@ class Index(ABC):
     def delta(self, actions: DataFrame, force: bool = False) -> DataFrame:
         """(kind, entry columns): the last action on each identity, of a batch of `actions`."""
         flat = normalise(actions, self.distinguished, force).select("seq", "part", "kind", "data.*")
-        leaves = self.leaves(flat, ("seq", "part", "kind"))
+        leaves = self.leaves(flat, ("seq", "part", "kind"), F.col("kind").isNotNull())
         rest = [c for c in leaves.columns if c not in self.identity and c not in ("seq", "part", "kind")]
         last = leaves.groupBy(*self.identity).agg(F.max(F.struct("seq", "part", "kind", *rest)).alias("_last"))
         return last.select(F.col("_last.kind").alias("kind"), *self.identity, *[F.col("_last")[c].alias(c) for c in rest]).select("kind", *IDENTITY, *self.fields)
@@ -228,8 +228,8 @@ class HashIndex(Index):
         """A row for each partition, empty ones included."""
         return spark.range(self.partitions).select(F.col("id").cast("int").alias("partition_id"), identifier(self.identifier_prefix, F.col("id")).alias("identifier"))
 
-    def route(self, columns: Mapping[str, Column]) -> Column:
-        return jump_bucket(string_hash(gen_key([columns[f] for f in self.partition_by], self.case_sensitive)), self.partitions)
+    def route(self, columns: Mapping[str, Column], strict: bool | Column = True) -> Column:
+        return jump_bucket(string_hash(gen_key([columns[f] for f in self.partition_by], self.case_sensitive, strict)), self.partitions)
 
     def route_values(self, pattern: Mapping[str, str]) -> int:
         for f in self.partition_by:
@@ -280,8 +280,8 @@ class SimpleIndex(Index):
     def partition_identifiers(self, order: str = "asc") -> list[str]:
         return []
 
-    def route(self, columns: Mapping[str, Column]) -> Column:
-        return identifier(self.identifier_prefix, gen_key([columns[f] for f in self.index_by], self.case_sensitive))
+    def route(self, columns: Mapping[str, Column], strict: bool | Column = True) -> Column:
+        return identifier(self.identifier_prefix, gen_key([columns[f] for f in self.index_by], self.case_sensitive, strict))
 
     def route_values(self, pattern: Mapping[str, str]) -> str:
         for f in self.index_by:
