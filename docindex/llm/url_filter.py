@@ -138,8 +138,8 @@ def path_of(url: Column) -> Column:
 
 def publish(spark: SparkSession, data: bytes) -> str:
     """Writes the file to the shared folder and hands it to all executors; the name to open there."""
-    name = f"urls-{xxhash.xxh3_128_hexdigest(data)}"
     folder = scratch(spark)
+    name = f"urls-{folder.rpartition('-')[2]}"  # a session takes a file's name once
     path, fs = _path(spark, f"{folder}/{name}")
     out = fs.create(path)
     try:
