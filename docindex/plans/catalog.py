@@ -148,10 +148,30 @@ class Manager:
     def entries(self, index: Index) -> DataFrame:
         return self.store.read(*self._data(index))
 
+    def _laid_out(self, index: Index, entries: DataFrame) -> DataFrame:
+        """Sorted for skipping, and in as many tasks as the shuffle has, however few partitions the index has."""
+        order = ("agg_key", "index_key", "value")
+        if not isinstance(index, HashIndex):
+            return entries.repartitionByRange("partition_id", "value").sortWithinPartitions("partition_id", "value")
+        files = max(1, int(self.store.spark.conf.get("spark.sql.shuffle.partitions")) // index.partitions)
+        spread = entries.repartition("partition_id", F.pmod(F.xxhash64(*order), F.lit(files)))
+        return spread.sortWithinPartitions("partition_id", *order)
+
     def _write(self, index: Index, entries: DataFrame) -> None:
         # A simple index has as many partitions as keys: sorted files, not folders.
-        by = ("partition_id",) if isinstance(index, HashIndex) else ()
-        self.store.overwrite(entries, *self._data(index), partition_by=by, sort_by=("agg_key", "index_key") if by else ("partition_id", "value"))
+        by = "partition_id" if isinstance(index, HashIndex) else None
+        self.store.overwrite(self._laid_out(index, entries), *self._data(index), partition_by=by)
+
+    def _apply(self, index: Index, delta: DataFrame) -> None:
+        """Reads and rewrites the partitions that a delta touches; of a simple index, all."""
+        if not isinstance(index, HashIndex):
+            self._write(index, index.apply(self.entries(index), delta))
+            delta.unpersist()
+            return
+        touched = [str(r["partition_id"]) for r in index.changed_partitions(delta).collect()]  # at most as many as the index has
+        new = index.apply(self.store.read(*self._data(index), partitions=touched), delta)
+        self.store.replace_partitions(self._laid_out(index, new), *self._data(index), "partition_id", touched)
+        delta.unpersist()
 
     def match(self, index: Index, pattern: dict[str, str]) -> DataFrame:
         return index.match(self.entries(index), pattern)
@@ -193,10 +213,12 @@ class Manager:
         changed = []
         with self.workflow():
             for index in map(collection.index, names):
-                delta = index.delta(actions, force)
-                if not delta.isEmpty():
+                delta = index.delta(actions, force).persist()
+                if delta.isEmpty():
+                    delta.unpersist()
+                else:
                     changed.append(index.name)
-                    self._add(f"write {index.name}", lambda i=index, d=delta: self._write(i, i.apply(self.entries(i), d)))
+                    self._add(f"write {index.name}", lambda i=index, d=delta: self._apply(i, d))
         return changed
 
     def update_all_indices(self, actions: DataFrame, collection: Collection, force: bool = False) -> list[str]:

@@ -1,11 +1,13 @@
 """Tables of typed documents and of index data: a folder for each (bucket type, bucket), in published versions.
 
-A write goes to a new version folder and becomes visible when the small `_current` file names it, so a table can be
-rewritten from itself, and readers see whole versions.
+A write goes to a new version folder and becomes visible when the small `_current` file names its parts, so a table
+can be rewritten from itself, and readers see whole versions. A partitioned table names each partition's folder, so a
+change rewrites the partitions that it touches and leaves the others where they are.
 """
 
 from __future__ import annotations
 
+import json
 import logging
 import time
 import uuid
@@ -15,6 +17,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 log = logging.getLogger("docindex")
 
@@ -68,50 +71,68 @@ class Store:
     def folder(self, bucket_type: str, bucket: str) -> str:
         return f"{self.root}/{bucket_type}/{bucket}"
 
-    def _current(self, folder: str) -> str | None:
+    def _current(self, folder: str) -> dict | None:
+        """{schema, parts: {partition or "": path below the folder}}."""
         path, fs = self._fs(f"{folder}/_current")
         if not fs.exists(path):
             return None
         stream = fs.open(path)
         try:
-            return bytes(stream.readAllBytes()).decode()
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
     def exists(self, bucket_type: str, bucket: str) -> bool:
         return self._current(self.folder(bucket_type, bucket)) is not None
 
-    def read(self, bucket_type: str, bucket: str) -> DataFrame:
-        folder = self.folder(bucket_type, bucket)
-        version = self._current(folder)
-        if version is None:
+    def _manifest(self, bucket_type: str, bucket: str) -> dict:
+        now = self._current(self.folder(bucket_type, bucket))
+        if now is None:
             raise NotFound(f"not_found: {bucket_type}/{bucket}")
-        return self.spark.read.parquet(f"{folder}/{version}")
-
-    def stage(self, df: DataFrame, bucket_type: str, bucket: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> str:
-        """Writes a new version and gives its name; nothing is visible before `publish`."""
-        version = f"v-{uuid.uuid4().hex}"
+        return now
+
+    def partitions(self, bucket_type: str, bucket: str) -> list[str]:
+        return list(self._manifest(bucket_type, bucket)["parts"])
+
+    def read(self, bucket_type: str, bucket: str, partitions: Sequence[str] | None = None) -> DataFrame:
+        """The table, or some of its partitions."""
+        folder, now = self.folder(bucket_type, bucket), self._manifest(bucket_type, bucket)
+        schema = T.StructType.fromJson(now["schema"])
+        paths = [f"{folder}/{p}" for k, p in now["parts"].items() if partitions is None or k in partitions]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", folder).parquet(*paths).select(*schema.names)
+
+    def stage(self, df: DataFrame, bucket_type: str, bucket: str, partition_by: str | None = None) -> dict:
+        """Writes a new version and gives its manifest; nothing is visible before `publish`."""
+        version, folder = f"version={uuid.uuid4().hex}", self.folder(bucket_type, bucket)
+        (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(f"{folder}/{version}")
+        parts = {"": version}
         if partition_by:
-            df = df.repartition(*partition_by)
-        if sort_by:
-            df = df.sortWithinPartitions(*partition_by, *sort_by)
-        writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-        writer.parquet(f"{self.folder(bucket_type, bucket)}/{version}")
-        return version
-
-    def publish(self, bucket_type: str, bucket: str, version: str) -> None:
+            path, fs = self._fs(f"{folder}/{version}")
+            found = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
+            parts = {n.partition("=")[2]: f"{version}/{n}" for n in found if "=" in n}
+        return {"schema": df.schema.jsonValue(), "parts": parts}
+
+    def publish(self, bucket_type: str, bucket: str, manifest: dict) -> None:
         folder = self.folder(bucket_type, bucket)
         old = self._current(folder)
         path, fs = self._fs(f"{folder}/_current")
         stream = fs.create(path, True)
-        stream.write(bytearray(version.encode()))
+        stream.write(bytearray(json.dumps(manifest).encode()))
         stream.close()
-        if old and old != version:
-            gone, _ = self._fs(f"{folder}/{old}")
-            fs.delete(gone, True)
-
-    def overwrite(self, df: DataFrame, bucket_type: str, bucket: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> None:
-        self.publish(bucket_type, bucket, self.stage(df, bucket_type, bucket, partition_by, sort_by))
+        for gone in set((old or {"parts": {}})["parts"].values()) - set(manifest["parts"].values()):
+            fs.delete(self._fs(f"{folder}/{gone}")[0], True)
+
+    def overwrite(self, df: DataFrame, bucket_type: str, bucket: str, partition_by: str | None = None) -> None:
+        self.publish(bucket_type, bucket, self.stage(df, bucket_type, bucket, partition_by))
+
+    def replace_partitions(self, df: DataFrame, bucket_type: str, bucket: str, partition_by: str, touched: Sequence[str]) -> None:
+        """The rows of `df` become all rows of the touched partitions; other partitions stay as they are."""
+        old = self._manifest(bucket_type, bucket)
+        new = self.stage(df, bucket_type, bucket, partition_by)
+        kept = {k: p for k, p in old["parts"].items() if k not in touched}
+        self.publish(bucket_type, bucket, {"schema": old["schema"], "parts": kept | new["parts"]})
 
     def drop(self, bucket_type: str, bucket: str) -> None:
         path, fs = self._fs(self.folder(bucket_type, bucket))
