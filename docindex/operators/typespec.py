@@ -164,3 +164,14 @@ def check_fields(df: DataFrame, spec: Spec, missing_spec: str = "error") -> Data
         if field.name in spec and field.dataType != (wanted := data_type(spec[field.name])):
             raise TypeError(f"datatype_mismatch: {field.name}: {wanted.simpleString()}, not {field.dataType.simpleString()}")
     return df.select(*[c for c in df.columns if c not in extra])
+
+
+def datatype_of(kind: T.DataType) -> str:
+    """The datatype that a Spark type stands for."""
+    if isinstance(kind, (T.StructType, T.MapType)):
+        return "map"
+    return "set" if isinstance(kind, T.ArrayType) else "flag" if isinstance(kind, T.BooleanType) else "register"
+
+
+def is_type(kind: T.DataType, datatype: str) -> bool:
+    return datatype_of(kind) == datatype or datatype == "counter" and isinstance(kind, T.LongType)

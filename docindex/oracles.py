@@ -141,4 +141,12 @@ SELECT * FROM (VALUES ('orders', 'orders_by_key', 'HashIndex', 'orders'), ('orde
 t(collection, index_name, index_type, bucket_prefix)""",
     "ring_day": "SELECT event_id, ((epoch(ts)::BIGINT // 86400) % 12)::INTEGER AS slot FROM (SELECT event_id, date_trunc('day', ts) AS ts FROM events)",
     "ring_week": "SELECT event_id, CASE WHEN date_diff('day', ts::DATE, DATE '2024-01-29') BETWEEN 0 AND 20 THEN (weekofyear(ts) % 3)::INTEGER END AS slot FROM events",
+    "document_edits": """
+SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'other' END AS name, (c_custkey + 5) * 2 AS visits, 'a' AS tags, true AS seen,
+       '/info/seen' || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ' /name' END || ' /tags /visits' AS updated, '/info/segment' AS removed, 'removed' AS status, true AS changed FROM customer""",
+    "ring_index": """
+SELECT event_id::VARCHAR AS event_id, event_type FROM events
+WHERE user_id = (SELECT user_id FROM events WHERE event_id = 0) AND date_diff('day', DATE '1970-01-01', ts::DATE) % 16 = (SELECT date_diff('day', DATE '1970-01-01', ts::DATE) % 16 FROM events WHERE event_id = 0)""",
+    "keyset_page_desc": """
+SELECT lower(p_brand) AS index_key, p_partkey || chr(25) || lower(p_type) AS value FROM part ORDER BY index_key DESC, value DESC LIMIT 20""",
 }

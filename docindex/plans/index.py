@@ -7,6 +7,7 @@ fields), and the typed fields beside them, so nothing is split when it is read.
 
 from __future__ import annotations
 
+import datetime
 import json
 from abc import ABC, abstractmethod
 from collections.abc import Mapping, Sequence
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docindex.functions.keys import data_bucket, gen_key, gen_key_value, identifier, jump_bucket, jump_bucket_value, string_hash, string_hash_value, to_key
+from docindex.functions.keys import data_bucket, gen_key, gen_key_value, identifier, jump_bucket, jump_bucket_value, ring_day, ring_week, string_hash, string_hash_value, to_key
 from docindex.operators.changes import normalise
 
 IDENTITY = ("partition_id", "agg_key", "index_key", "value")
@@ -172,12 +173,13 @@ class Index(ABC):
         )
         return entries.join(keyed, ["partition_id", "agg_key", "index_key"]).select(*extra, *self.fields)
 
-    def page(self, entries: DataFrame, size: int, after: Mapping[str, str] | None = None) -> DataFrame:
+    def page(self, entries: DataFrame, size: int, after: Mapping[str, str] | None = None, descending: bool = False) -> DataFrame:
         """The next `size` entries by (agg_key, index_key, value) after the last of the page before."""
         order = ("agg_key", "index_key", "value")
         if after is not None:
-            entries = entries.where(F.struct(*order) > F.struct(*[F.lit(after[o]).alias(o) for o in order]))
-        return entries.orderBy(*order).limit(size)
+            here, last = F.struct(*order), F.struct(*[F.lit(after[o]).alias(o) for o in order])
+            entries = entries.where(here < last if descending else here > last)
+        return entries.orderBy(*[F.desc(o) if descending else F.asc(o) for o in order]).limit(size)
 
 
 @dataclass(frozen=True)
@@ -293,7 +295,53 @@ class SimpleIndex(Index):
         return entries.where(F.col("partition_id") == self.route_values(pattern)).orderBy("value").select(*self.covered_fields)
 
 
-TYPES: dict[str, type[Index]] = {"HashIndex": HashIndex, "SimpleIndex": SimpleIndex}
+@dataclass(frozen=True)
+class RingIndex(SimpleIndex):
+    """A tumbling ring: a row's partition is the slot of its day or ISO week among the last `slots`.
+
+    Rows of weeks out of bounds (or of no time) are in no partition; a match names the slot in the pattern.
+    """
+
+    timestamp_field: str = ""
+    slots: int = 16
+    unit: str = "day"
+    now: str = ""
+
+    def __post_init__(self):
+        super().__post_init__()
+        if not self.timestamp_field or self.unit not in ("day", "week") or self.slots < 1 or self.slots & (self.slots - 1) or self.unit == "week" and not self.now:
+            raise ValueError("invalid_configuration")
+
+    def number_of_partitions(self) -> int:
+        return self.slots
+
+    def partition_identifiers(self, order: str = "asc") -> list[str]:
+        ids = [f"{self.identifier_prefix}_{i}" for i in range(self.slots)]
+        return ids if order == "asc" else ids[::-1]
+
+    def slot(self, ts: Column) -> Column:
+        return ring_day(ts, self.slots) if self.unit == "day" else ring_week(ts, self.slots, datetime.datetime.fromisoformat(self.now))
+
+    def build(self, rows: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+        slot = self.slot(F.col(self.timestamp_field))
+        return super().build(rows.withColumn("_slot", identifier(self.identifier_prefix, slot)).where(F.col("_slot").isNotNull()), ("_slot",))
+
+    def leaves(self, rows: DataFrame, carry: Sequence[str] = (), strict: bool | Column = True) -> DataFrame:
+        flat = super().leaves(rows, tuple(dict.fromkeys((*carry, "_slot"))), strict)
+        return flat.withColumn("partition_id", F.col("_slot"))
+
+    def route_values(self, pattern: Mapping[str, str]) -> str:
+        if pattern.get("slot") is None:
+            raise MissingPatternKey("missing_pattern_key: slot")
+        return f"{self.identifier_prefix}_{pattern['slot']}"
+
+    def match(self, entries: DataFrame, pattern: Mapping[str, str]) -> DataFrame:
+        index_key = gen_key_value([pattern[f] for f in self.index_by], self.case_sensitive)
+        found = entries.where((F.col("index_key") == index_key) & (F.col("partition_id") == self.route_values(pattern)))
+        return found.orderBy("value").select(*self.covered_fields)
+
+
+TYPES: dict[str, type[Index]] = {"HashIndex": HashIndex, "SimpleIndex": SimpleIndex, "RingIndex": RingIndex}
 
 
 def from_json(text: str) -> Index:

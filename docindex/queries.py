@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 
 from docindex.functions import codec, keys
 from docindex.operators import changes, crdt, merge, paths, typespec
+from docindex.operators.documents import Document
 from docindex.plans import catalog
-from docindex.plans.index import HashIndex, SimpleIndex, join_base
+from docindex.plans.index import HashIndex, RingIndex, SimpleIndex, join_base
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -510,9 +511,39 @@ def patch_fold(spark, sf_dir):
     return d.select("c_custkey", "d.name", "d.active", "d.visits", F.array_join("d.tags", ",").alias("tags"))
 
 
+@query
+def document_edits(spark, sf_dir):
+    """A chain of recorded edits on each customer's document."""
+    n = F.col("c_custkey")
+    doc = F.struct(F.col("c_name").alias("name"), n.alias("visits"), F.array(F.lit("b")).alias("tags"), F.struct(F.lit(False).alias("seen"), F.col("c_mktsegment").alias("segment")).alias("info"))
+    docs = table(spark, sf_dir, "customer").select(n, doc.alias("doc"))
+    d = Document.of(docs, "doc", ctx=n)
+    d = d.set("name", F.when(n % 2 == 0, F.col("doc.name")).otherwise("other")).increment("visits", 5).add_elements("tags", F.array(F.lit("a")))
+    d = d.enable(["info", "seen"]).del_elements("tags", F.array(F.lit("b"))).remove(["info", "segment"]).set("visits", lambda v: v * 2)
+    paths_ = d.changed_key_paths()
+    return docs.select(
+        "c_custkey", d.get("name").alias("name"), d.get("visits").alias("visits"), F.array_join(d.get("tags"), ",").alias("tags"), d.get(["info", "seen"]).alias("seen"),
+        F.array_join(paths_["updated"], " ").alias("updated"), F.array_join(paths_["removed"], " ").alias("removed"), d.status(["info", "segment"]).alias("status"), d.has_changes().alias("changed"),
+    )
+
+
 # Catalog and rings
 
 
+@query
+def ring_index(spark, sf_dir):
+    """The events of a user in one slot of a ring of sixteen days."""
+    ring = RingIndex("by_day", "events", ("user_id",), ("event_id", "event_type"), timestamp_field="ts", slots=16)
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string"), F.col("event_id").cast("string"), "event_type", "ts")
+    one = table(spark, sf_dir, "events").where("event_id = 0").select("user_id", ring.slot(F.col("ts")).alias("slot")).first()
+    return ring.match(ring.build(rows), {"user_id": str(one["user_id"]), "slot": str(one["slot"])})
+
+
+@query
+def keyset_page_desc(spark, sf_dir):
+    return BY_BRAND.page(BY_BRAND.build(parts(spark, sf_dir)), 20, descending=True).select("index_key", "value")
+
+
 @query
 def catalog_indices(spark, sf_dir):
     collection = catalog.Collection("orders", "orders")

@@ -7,8 +7,9 @@ from pyspark.sql import types as T
 
 from docindex.functions import codec, keys
 from docindex.operators import changes, crdt, merge, paths, typespec
+from docindex.operators.documents import Document, entry
 from docindex.plans.catalog import AlreadyExists, BadIndex, Collection, Manager
-from docindex.plans.index import BadPattern, HashIndex, MissingPatternKey, SimpleIndex, from_json
+from docindex.plans.index import BadPattern, HashIndex, MissingPatternKey, RingIndex, SimpleIndex, from_json
 from docindex.sources.store import NotFound, Options, Store
 from docindex.streaming import maintain
 
@@ -158,6 +159,37 @@ def test_patch_rejects_unknown(spark):
         one(spark, crdt.patch_fold(F.struct(F.lit(1).cast("long").alias("a")), kind, ops))
 
 
+def test_document_edits(spark):
+    df = spark.range(1).select(F.struct(F.lit("x").alias("a"), F.create_map(F.lit("k"), F.lit(1)).alias("m"), F.array().cast("array<string>").alias("s")).alias("d"))
+    d = Document.of(df, "d", ctx=F.lit(1))
+    with pytest.raises(KeyError, match="missing_spec"):
+        d.set("zz", F.lit(1))
+    same = d.set("a", F.lit("x"))
+    put = d.set(["m", "q"], F.lit(2)).set("a", None).add_elements("s", F.array(F.lit("e"), F.lit("e")))
+    r = df.select(same.has_changes().alias("same"), put.doc.alias("doc"), put.changed_key_paths().alias("p"), put.status("a").alias("st"), put.status("s").alias("su"), d.status("a").alias("no")).first()
+    assert not r.same and r.doc.m == {"k": 1, "q": 2} and r.doc.a is None and r.doc.s == ["e"]
+    assert (r.p.updated, r.p.removed, r.st, r.su, r.no) == (["/m/q", "/s"], ["/a"], "removed", "updated", "none")
+    with pytest.raises(Exception, match="context_required"):
+        df.select(Document.of(df, "d").remove("a").doc).collect()
+    fresh = Document.of(df, "d").set("a", F.lit("y")).remove("a")
+    assert df.select(fresh.doc.alias("doc")).first().doc.a is None
+    with pytest.raises(Exception, match="badkey"):
+        df.select(d.get(["m", "none"])).collect()
+    assert tuple(one(spark, entry("register", "a", "v").alias("e")).e) == ("register", "a", "v")
+
+
+def test_ring_index(spark):
+    rows = spark.sql("SELECT 'u' u, 'e' || id e, timestamp'2024-01-01' + make_dt_interval(cast(id as int)) ts FROM range(40)")
+    ring = RingIndex("r", "b", ("u",), ("e",), timestamp_field="ts", slots=16)
+    day = datetime.date(2024, 1, 3).toordinal() - datetime.date(1970, 1, 1).toordinal()
+    got = {r.e for r in ring.match(ring.build(rows), {"u": "U", "slot": str(day % 16)}).collect()}
+    assert got == {"e2", "e18", "e34"} and from_json(ring.to_json()) == ring
+    week = RingIndex("r", "b", ("u",), ("e",), timestamp_field="ts", slots=2, unit="week", now="2024-02-05")
+    assert week.build(rows).count() == 14  # the fourteen days up to now
+    with pytest.raises(ValueError):
+        RingIndex("r", "b", ("u",), timestamp_field="ts", slots=12)
+
+
 def test_concurrent_adds_win(spark):
     adds = spark.createDataFrame([("s", "a", 1), ("s", "b", 2), ("s", "a", 5)], "k string, e string, seq long")
     removes = spark.createDataFrame([("s", "a", 3), ("s", "b", 3)], "k string, e string, ctx long")
