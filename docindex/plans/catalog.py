@@ -8,6 +8,7 @@ dropped, so that a listed index always has its data.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
@@ -74,6 +75,22 @@ class Collection:
         return spark.createDataFrame([(self.id, i.name, i.type, i.to_json()) for i in self.indices()], CATALOG)
 
 
+@dataclass
+class Work:
+    """A workflow that runs in the background."""
+
+    future: Future
+
+    def status(self) -> str:
+        if not self.future.done():
+            return "pending"
+        return "failed" if self.future.exception() else "completed"
+
+    def wait(self, timeout_s: float | None = None):
+        """Its result; raises what it raised, or TimeoutError."""
+        return self.future.result(timeout_s)
+
+
 class Manager:
     """Creates, changes and drops indices in a store."""
 
@@ -84,9 +101,22 @@ class Manager:
         self._steps: list[tuple[str, Callable[[], None]]] = []
         self._depth = 0
         self._deleted: set[str] = set()
+        self._pool: ThreadPoolExecutor | None = None
 
     # Workflows
 
+    def submit(self, fun: Callable[[Manager], object]) -> Work:
+        """Runs `fun` in a workflow of its own, after those submitted before."""
+        if self._pool is None:
+            self._pool = ThreadPoolExecutor(1)
+
+        def run():
+            other = Manager(self.store)
+            with other.workflow():
+                return fun(other)
+
+        return Work(self._pool.submit(run))
+
     @contextmanager
     def workflow(self):
         """Collects steps; the outermost one runs them in order, and an exception drops them all."""
@@ -224,5 +254,11 @@ class Manager:
     def update_all_indices(self, actions: DataFrame, collection: Collection, force: bool = False) -> list[str]:
         return self.update_indices(actions, collection.index_names(), collection, force)
 
+    def partition_meta(self, index: HashIndex) -> DataFrame:
+        """identifier, created_ts, last_updated_ts and n of every partition, empty ones included."""
+        times = [(int(k), *v) for k, v in self.store.times(*self._data(index)).items()]
+        known = self.store.spark.createDataFrame(times, "partition_id int, created_ts long, last_updated_ts long")
+        return index.partition_meta(self.store.spark).join(known, "partition_id", "left").join(self.partition_sizes(index), "partition_id", "left").fillna(0, ["n"])
+
     def partition_sizes(self, index: Index) -> DataFrame:
         return self.entries(index).groupBy("partition_id").agg(F.count(F.lit(1)).alias("n"))

@@ -11,6 +11,7 @@ import json
 import logging
 import time
 import uuid
+from collections import OrderedDict
 from collections.abc import Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -58,11 +59,41 @@ def telemetry(name: str, **about):
     log.debug("%s stop after %.3f s %s", name, time.monotonic() - start, about)
 
 
+@dataclass
+class Cache:
+    """Tables that stay persisted: at most `entries`, least recently used first out, for `ttl_s` seconds."""
+
+    entries: int = 100
+    ttl_s: float = 600
+    held: OrderedDict = field(default_factory=OrderedDict)
+
+    def get(self, key: str, version: dict) -> DataFrame | None:
+        if key not in self.held:
+            return None
+        since, of, df = self.held[key]
+        if of != version or time.monotonic() - since > self.ttl_s:
+            self.drop(key)
+            return None
+        self.held.move_to_end(key)
+        return df
+
+    def put(self, key: str, version: dict, df: DataFrame) -> DataFrame:
+        self.drop(key)
+        self.held[key] = (time.monotonic(), version, df.persist())
+        while len(self.held) > self.entries:
+            self.drop(next(iter(self.held)))
+        return df
+
+    def drop(self, key: str) -> None:
+        if key in self.held:
+            self.held.pop(key)[2].unpersist()
+
+
 class Store:
     """Documents under `root`, any path that Hadoop's file systems know."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, cache: Cache | None = None):
+        self.spark, self.root, self.cache = spark, root.rstrip("/"), cache
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -94,15 +125,21 @@ class Store:
     def partitions(self, bucket_type: str, bucket: str) -> list[str]:
         return list(self._manifest(bucket_type, bucket)["parts"])
 
-    def read(self, bucket_type: str, bucket: str, partitions: Sequence[str] | None = None) -> DataFrame:
-        """The table, or some of its partitions."""
+    def read(self, bucket_type: str, bucket: str, partitions: Sequence[str] | None = None, force_refresh: bool = True) -> DataFrame:
+        """The table, or some of its partitions. Only without `force_refresh` a whole table may come from the cache."""
         folder, now = self.folder(bucket_type, bucket), self._manifest(bucket_type, bucket)
+        if self.cache is not None and not force_refresh and partitions is None:
+            return self.cache.get(folder, now["parts"]) or self.cache.put(folder, now["parts"], self.read(bucket_type, bucket))
         schema = T.StructType.fromJson(now["schema"])
         paths = [f"{folder}/{p}" for k, p in now["parts"].items() if partitions is None or k in partitions]
         if not paths:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("basePath", folder).parquet(*paths).select(*schema.names)
 
+    def times(self, bucket_type: str, bucket: str) -> dict[str, tuple[int, int]]:
+        """(created, last updated), in milliseconds, of each partition."""
+        return {k: tuple(v) for k, v in self._manifest(bucket_type, bucket)["times"].items()}
+
     def stage(self, df: DataFrame, bucket_type: str, bucket: str, partition_by: str | None = None) -> dict:
         """Writes a new version and gives its manifest; nothing is visible before `publish`."""
         version, folder = f"version={uuid.uuid4().hex}", self.folder(bucket_type, bucket)
@@ -117,6 +154,9 @@ class Store:
     def publish(self, bucket_type: str, bucket: str, manifest: dict) -> None:
         folder = self.folder(bucket_type, bucket)
         old = self._current(folder)
+        now, before = int(time.time() * 1000), (old or {}).get("times", {})
+        same = {k for k, p in manifest["parts"].items() if old and old["parts"].get(k) == p}
+        manifest["times"] = {k: before[k] if k in same and k in before else [before.get(k, [now])[0], now] for k in manifest["parts"]}
         path, fs = self._fs(f"{folder}/_current")
         stream = fs.create(path, True)
         stream.write(bytearray(json.dumps(manifest).encode()))

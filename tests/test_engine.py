@@ -10,7 +10,7 @@ from docindex.operators import changes, crdt, merge, paths, typespec
 from docindex.operators.documents import Document, entry
 from docindex.plans.catalog import AlreadyExists, BadIndex, Collection, Manager
 from docindex.plans.index import BadPattern, HashIndex, MissingPatternKey, RingIndex, SimpleIndex, from_json
-from docindex.sources.store import NotFound, Options, Store
+from docindex.sources.store import Cache, NotFound, Options, Store
 from docindex.streaming import maintain
 
 
@@ -302,19 +302,19 @@ def things(spark, *rows):
 
 def test_simple_index_scenario(spark):
     index = SimpleIndex("things", "t", ("account_id",), ("id",))
-    doc = lambda i, a=1: (f"mrn:thing:{a}_{i}", f"acc:{a}")
+    doc = lambda i, a=1: (f"thing:{a}_{i}", f"acc:{a}")
     base = spark.createDataFrame([doc(i) for i in range(1, 701)], "id string, account_id string")
     entries = index.build(base)
     count = lambda e, a=1: index.match(e, {"account_id": f"acc:{a}"}).count()
-    assert count(entries) == 700 and index.match(entries, {"account_id": "acc:1"}).first().id == "mrn:thing:1_1"
+    assert count(entries) == 700 and index.match(entries, {"account_id": "acc:1"}).first().id == "thing:1_1"
     act = lambda e, *rows: index.apply(e, index.delta(things(spark, *rows)))
     entries = act(entries, ("delete", doc(1), None, CLEAN, None))
     assert count(entries) == 699
     entries = act(entries, ("insert", None, doc(1), None, CLEAN), ("delete", doc(2), None, CLEAN, None))
     assert count(entries) == 698  # an unchanged insert is nothing
-    entries = act(entries, ("update", doc(3), ("mrn:thing:1_3", "acc:2"), CLEAN, CHANGED))
+    entries = act(entries, ("update", doc(3), ("thing:1_3", "acc:2"), CLEAN, CHANGED))
     assert (count(entries), count(entries, 2)) == (697, 1)
-    entries = act(entries, ("update", ("mrn:thing:1_3", "acc:2"), ("mrn:thing:1_3", None), CLEAN, ([], ["account_id"], True)))
+    entries = act(entries, ("update", ("thing:1_3", "acc:2"), ("thing:1_3", None), CLEAN, ([], ["account_id"], True)))
     assert (count(entries), count(entries, 2)) == (697, 0)
     # Within a batch the last action on an identity decides.
     entries = act(entries, ("delete", doc(4), None, CLEAN, None), ("insert", None, doc(4), None, CHANGED), ("delete", doc(5), None, CLEAN, None))
@@ -380,6 +380,24 @@ def test_catalog_and_store(spark, tmp_path):
     assert manager.lookup("users", "users") is None
 
 
+def test_background_cache_and_times(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}", Cache(entries=1))
+    manager = Manager(store)
+    work = manager.submit(lambda m: m.create_index(USERS, Collection("users", "users"), users(spark, 5)))
+    assert work.wait(120).index_names() == ["users"] and work.status() == "completed"
+    failed = manager.submit(lambda m: m.drop_index("none", work.wait()))
+    with pytest.raises(BadIndex):
+        failed.wait(60)
+    assert failed.status() == "failed"
+    meta = manager.partition_meta(USERS).collect()
+    assert len(meta) == 8 and sum(r.n for r in meta) == 10 and all(r.created_ts <= r.last_updated_ts for r in meta if r.n)
+    at = manager._data(USERS)
+    first = store.read(*at, force_refresh=False)
+    assert store.read(*at, force_refresh=False) is first and first.is_cached
+    manager.rebuild_index("users", work.wait(), users(spark, 6))
+    assert store.read(*at, force_refresh=False).count() == 12 and not first.is_cached
+
+
 def test_documents(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}")
     frame = lambda *rows: spark.createDataFrame(rows, "key string, v long")
