@@ -57,24 +57,34 @@ def bits_of(hashes: np.ndarray) -> np.ndarray:
     return (2 * total + np.arange(BITS) % 2 > len(hashes)).astype(np.uint8)
 
 
-def _fingerprints(tables: int):
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cache = WordHashes()
+    for batch in batches:
+        texts = batch.column("text")
+        n, bits = np.zeros(len(texts), np.int32), np.zeros((len(texts), BITS), np.uint8)
+        for i, text in enumerate(texts):
+            h = shingles(text.as_py(), cache)
+            n[i] = len(h)
+            if len(h):
+                bits[i] = bits_of(h)
+        prints = pa.array(list(map(bytes, np.packbits(bits, axis=1))), pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tid"), pa.array(n), prints], ["doc_id", "tid", "n", "print"])
+
+
+def _tables(tables: int):
+    """A row for each table of each fingerprint, with the 64 coordinates that the table samples."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, at = WordHashes(), coordinates(tables)
+        at = coordinates(tables).ravel()
         for batch in batches:
-            texts = batch.column("text")
-            n, bits = np.zeros(len(texts), np.int32), np.zeros((len(texts), BITS), np.uint8)
-            for i, text in enumerate(texts):
-                h = shingles(text.as_py(), cache)
-                n[i] = len(h)
-                if len(h):
-                    bits[i] = bits_of(h)
-            prints = np.packbits(bits, axis=1)
-            keys = np.packbits(bits[:, at.ravel()].reshape(len(texts), tables, 64), axis=2).view(">i8").astype(np.int64)
-            offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * tables)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("tid"), pa.array(n), pa.array(list(map(bytes, prints)), pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
-                ["doc_id", "tid", "n", "print", "keys"],
-            )
+            m = len(batch)
+            if not m:
+                continue
+            bits = np.unpackbits(np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint8).reshape(m, BITS // 8), axis=1)
+            keys = np.packbits(bits[:, at].reshape(m, tables, 64), axis=2).view(">i8").astype(np.int64)
+            rows = pa.array(np.repeat(np.arange(m), tables))
+            columns = [pa.array(np.tile(np.arange(tables, dtype=np.int32), m)), pa.array(keys.ravel()), *[batch.column(c).take(rows) for c in ("tid", "n", "print")]]
+            yield pa.RecordBatch.from_arrays(columns, ["t", "key", "tid", "n", "print"])
 
     return run
 
@@ -187,16 +197,39 @@ def _verified(similarity: float):
     return run
 
 
+#: Bits of the filter that spares texts that no pair asks for the shuffle: 2 MB, whatever the input.
+FILTER_BITS = 1 << 24
+
+
+def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of `docs` whose digest may be in `wanted`: a bitmap of fixed size, so it may keep more, never less."""
+    bit = F.pmod(F.xxhash64("tid"), F.lit(FILTER_BITS))
+    words = wanted.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 AS int)))").alias("bits"))
+    bitmap = np.zeros(FILTER_BITS // 64, np.uint64)
+    got = words.toArrow()
+    bitmap[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    held = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def may(b):
+        import pandas as pd
+
+        at = b.to_numpy()
+        return pd.Series((held.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return docs.where(may(bit))
+
+
 def links(docs: DataFrame, distinct: DataFrame, similarity: float, tables: int, cap: int) -> DataFrame:
-    """(a, b) by text digest, from `distinct` (tid, n, print, keys) and the texts of `docs` (tid, text)."""
+    """(a, b) by text digest, from `distinct` (tid, n, print) and the texts of `docs` (tid, text)."""
     count = distinct.count()
     base = max(8, int(np.ceil(np.log2(max(2 * count / cap, 1)))))
-    rows = distinct.select(F.posexplode("keys").alias("t", "key"), "tid", "n", "print")
+    rows = distinct.mapInArrow(_tables(tables), "t int, key long, tid binary, n int, print binary")
     rows = rows.repartitionByRange("t", "key").sortWithinPartitions("t", "key", "print")
     pairs = cut(rows.mapInArrow(_links(similarity, base, cap), "a binary, b binary, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")))
     unsure = pairs.where(~F.col("sure")).select("a", "b")
-    wanted = unsure.select(F.col("a").alias("tid")).unionAll(unsure.select(F.col("b").alias("tid"))).distinct()
-    texts = docs.join(wanted, "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
+    wanted = cut(unsure.select(F.col("a").alias("tid")).unionAll(unsure.select(F.col("b").alias("tid"))).distinct())
+    texts = _likely(docs, wanted).join(wanted, "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
     side = lambda c: texts.select(F.col("tid").alias(c), F.col("text").alias(f"text_{c}"))
     checked = unsure.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verified(similarity), "a binary, b binary")
     return pairs.where("sure").select("a", "b").unionAll(checked)
@@ -206,12 +239,12 @@ def classes(docs: DataFrame, similarity: float = 0.8, tables: int = 24, cap: int
     """(doc_id, tid, class_id, first): one row for each row of `docs`; `first` marks the document that stays."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(text_of(text_col))).alias("tid"), text_of(text_col).alias("text"))
-    shape = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType)]).add("tid", "binary").add("n", "integer").add("print", "binary").add("keys", T.ArrayType(T.LongType()))
-    prints = cut(texts.mapInArrow(_fingerprints(tables), shape))
+    shape = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType)]).add("tid", "binary").add("n", "integer").add("print", "binary")
+    prints = cut(texts.mapInArrow(_fingerprints, shape))
     # The least document of each distinct text; ids before nulls.
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("tid").alias("tid"))
     per_text = prints.groupBy("tid").agg(F.min(rank).alias("least"))
-    distinct = prints.where("n > 0").groupBy("tid").agg(F.first("n").alias("n"), F.first("print").alias("print"), F.first("keys").alias("keys"))
+    distinct = prints.where("n > 0").groupBy("tid").agg(F.first("n").alias("n"), F.first("print").alias("print"))
     roots = components(links(texts.select("tid", "text"), distinct, similarity, tables, cap))
     labelled = per_text.join(roots.withColumnRenamed("node", "tid"), "tid", "left").select("tid", "least", F.coalesce("root", "tid").alias("root"))
     of_class = labelled.groupBy("root").agg(F.min("least").alias("least"))
