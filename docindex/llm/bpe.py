@@ -3,18 +3,20 @@
 A text is split into the words that the tokenizer's own pre-tokenizer makes of it; each distinct word is encoded
 once, and the ids are joined back by position. Decoding joins ids to their pieces and reads the bytes as UTF-8.
 
-The table of distinct words lives in each task, not in one shuffle of the corpus: a third of the words of invented
+The table of distinct words lives in each Python process, not in one shuffle of the corpus: a third of the words of invented
 or scraped prose occur once, so (document, position, word) rows, or even distinct pairs, are several times the size
-of the texts, while encoding a word costs less than moving it. A task encodes a word once as long as its table
+of the texts, while encoding a word costs less than moving it. A process encodes a word once as long as its table
 holds it (`table_words` distinct words, after which it starts afresh, so memory is bounded on any vocabulary).
 
 Defined cases. Null and empty texts have no tokens. Special tokens in a text are matched as the tokenizers library
-does by default. Texts that are not split at all (one endless word) are encoded by the library as they are.
+does by default. Repeated rows are encoded alike; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+import struct
 from collections.abc import Iterator
 from itertools import chain
 
@@ -30,6 +32,9 @@ from .common import small_batches, text_of
 #: The word pattern of byte-level BPE, as its files' pre-tokenizer has it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: The same for texts of ASCII characters alone.
+ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -50,67 +55,78 @@ class Codec:
     def __init__(self, path: str, table_words: int = 200_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.table_words = table_words
-        self.table: dict[str, tuple[int, ...]] = {}
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.special = {t.content: i for i, t in added.items()}
-        names = sorted(map(regex.escape, self.special), key=len, reverse=True)
-        self.split = regex.compile("|".join([*names, PATTERN]))
-        self.words = regex.compile(PATTERN)
+        tokenizer = Tokenizer.from_file(path)
+        if tokenizer.normalizer is not None or '"use_regex":true' not in tokenizer.to_str().partition('"pre_tokenizer"')[2].partition("}")[0]:
+            raise ValueError("not a byte-level tokenizer with the usual words")
+        self.model = tokenizer.model
+        self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+        self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
+        self.words, self.ascii_words = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN, re.ASCII).findall
         alphabet = _byte_alphabet()
-        self.pieces: dict[int, bytes] = {}
-        for piece, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
-            self.pieces[i] = bytes(alphabet[c] for c in piece)
-        self.pieces |= {i: t.encode() for t, i in self.special.items()}
-
-    def _split(self, text: str) -> list[str]:
+        self.stand_in = [c for _, c in sorted((b, c) for c, b in alphabet.items())]
+        pieces = {i: bytes(alphabet[c] for c in piece) for piece, i in tokenizer.get_vocab(with_added_tokens=False).items()}
+        pieces |= {i: t.encode() for t, i in self.special.items()}
+        self.pieces = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
+        self.table_words, self.table = table_words, {}
+
+    def split(self, text: str) -> list[str]:
+        find = self.ascii_words if text.isascii() else self.words
         if not any(s in text for s in self.special):
-            return self.words.findall(text)
+            return find(text)
         out, at = [], 0
-        for m in regex.finditer("|".join(map(regex.escape, self.special)), text):
-            out += [*self.words.findall(text[at : m.start()]), m[0]]
+        for m in self.specials.finditer(text):
+            out += [*find(text[at : m.start()]), m[0]]
             at = m.end()
-        return out + self.words.findall(text[at:])
-
-    def learn(self, words: set[str]) -> None:
-        """Encodes the words that the table lacks."""
-        new = [w for w in words if w not in self.table]
+        return out + find(text[at:])
+
+    def _encode_word(self, word: str) -> bytes:
+        """The ids as little-endian 32-bit integers."""
+        if word in self.special:
+            ids = [self.special[word]]
+        else:
+            ids = [t.id for t in self.model.tokenize("".join(map(self.stand_in.__getitem__, word.encode())))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
+        split = [self.split(t) for t in texts]
+        distinct = set(chain.from_iterable(split))
+        new = [w for w in distinct if w not in self.table]
         if len(self.table) + len(new) > self.table_words:
             self.table.clear()
-            new = list(words)
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.table[w] = tuple(e.ids)
+            new = list(distinct)
+        self.table.update(zip(new, map(self._encode_word, new)))
+        return [b"".join(map(self.table.__getitem__, words)) for words in split]
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self._split(t) for t in texts]
-        self.learn(set(chain.from_iterable(split)))
-        get = self.table.__getitem__
-        return [np.fromiter(chain.from_iterable(map(get, words)), np.uint32) for words in split]
-
-    def decode(self, ids) -> str:
+    def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
 
+_codecs: dict[tuple[str, int], Codec] = {}
+
+
+def codec(path: str, table_words: int = 200_000) -> Codec:
+    """One for each process, so that its table serves all its tasks."""
+    if (path, table_words) not in _codecs:
+        _codecs[path, table_words] = Codec(path, table_words)
+    return _codecs[path, table_words]
+
+
 def _run(path: str, table_words: int, with_ids: bool, group: int = 100):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        codec = Codec(path, table_words)
+        own = codec(path, table_words)
         for batch in batches:
             for at in range(0, len(batch), group):
                 part = batch.slice(at, group)
-                ids = codec.encode_batch(part.column("text").to_pylist())
-                sums = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]
-                back = [hashlib.sha256(codec.decode(x.tolist()).encode()).hexdigest() for x in ids]
+                raw = own.encode_batch(part.column("text").to_pylist())
+                ids = [np.frombuffer(x, "<u4") for x in raw]
+                sums = [hashlib.sha256(x).hexdigest() for x in raw]
+                back = [hashlib.sha256(own.decode(x.tolist()).encode()).hexdigest() for x in ids]
                 columns = [part.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array(sums), pa.array(back)]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
                     offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                    flat = np.concatenate([*ids, np.empty(0, np.uint32)]).astype(np.int32)
+                    flat = np.frombuffer(b"".join(raw), "<i4")
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
@@ -132,12 +148,10 @@ def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") ->
     """All columns of `encoded`, with `text` from its ids."""
     small_batches(encoded.sparkSession)
     at = path or default_path()
-    held: list[Codec] = []
 
     @F.pandas_udf("string")
     def run(ids):
-        if not held:
-            held.append(Codec(at))
-        return ids.map(lambda x: held[0].decode(x if x is not None else []))
+        own = codec(at)
+        return ids.map(lambda x: own.decode(x if x is not None else []))
 
     return encoded.withColumn("text", run(F.col(ids_col)))
