@@ -79,11 +79,13 @@ def posteriors(docs: DataFrame, model: DataFrame, shares: dict[str, float], evid
     return joined.select("doc_id", "hash", "tokens", *[f"p{i}" for i in range(len(scores))])
 
 
-def fit_rates(table: DataFrame, wanted: list[float], steps: int = 40, tolerance: float = 1e-6) -> DataFrame:
+def fit_rates(table: DataFrame, wanted: list[float], steps: int = 60, tolerance: float = 1e-6) -> DataFrame:
     """`table` with `rate`: nonnegative, so that sum(rate * tokens * p) is near `wanted` in each domain.
 
-    The gradient of a rate is scaled by the document's own 1/share, so domains of any size converge alike; the step
-    is the inverse of a bound of the scaled problem's curvature.
+    Projected gradient steps with momentum, which starts anew whenever the squared difference would grow. The
+    gradient of a rate is scaled by the document's own 1/share, so domains of any size converge alike; the step is
+    the inverse of a bound of the scaled problem's curvature. Totals are linear in the rates, so those of the
+    extrapolated rates come from the totals of the last two.
     """
     k = len(wanted)
     p = [F.col(f"p{i}") for i in range(k)]
@@ -92,20 +94,31 @@ def fit_rates(table: DataFrame, wanted: list[float], steps: int = 40, tolerance:
         return table.withColumn("rate", F.lit(1.0))
     whole = float(totals["t"])
     share = [max(totals[f"m{i}"] / whole, 1e-9) for i in range(k)]
+    goal = [w / whole for w in wanted]
     scale = _total([p[i] / share[i] for i in range(k)])
     bounds = table.agg(*[(F.sum(F.col("tokens") * p[i] * scale) / whole).alias(f"b{i}") for i in range(k)]).first()
     step = 1 / max(bounds)
-    now = table.withColumn("rate", F.lit(1.0))
+    now = table.withColumns({"rate": F.lit(1.0), "before": F.lit(1.0)})
+    have = last = [totals[f"m{i}"] / whole for i in range(k)]
+    speed = 0
     for i in range(1, steps + 1):
-        sums = now.agg(*[F.sum(F.col("rate") * F.col("tokens") * p[j]).alias(f"m{j}") for j in range(k)]).first()
-        off = [(sums[f"m{j}"] - wanted[j]) / whole for j in range(k)]
+        off = [h - g for h, g in zip(have, goal)]
         if max(map(abs, off)) < tolerance:
             break
-        slope = _total([p[j] * off[j] for j in range(k)])
-        now = now.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - step * scale * slope))
+        if sum(x * x for x in off) > sum((h - g) ** 2 for h, g in zip(last, goal)):
+            speed = 0
+        push = speed / (speed + 3)
+        speed += 1
+        slope = _total([p[j] * (have[j] + push * (have[j] - last[j]) - goal[j]) for j in range(k)])
+        moved = F.col("rate") + push * (F.col("rate") - F.col("before"))
+        now = now.withColumn("after", F.greatest(F.lit(0.0), moved - step * scale * slope))
+        now = now.select(*table.columns, F.col("after").alias("rate"), F.col("rate").alias("before"))
         if i % STEPS_A_TABLE == 0:
             now = cut(now)
-    return now
+        sums = now.agg(*[F.sum(F.col("rate") * F.col("tokens") * p[j]).alias(f"m{j}") for j in range(k)]).first()
+        have, last = [sums[f"m{j}"] / whole for j in range(k)], have
+    # Cut, as a filter on the rate would otherwise be pushed through all steps, and double its expression at each.
+    return cut(now.drop("before"))
 
 
 def mix(
