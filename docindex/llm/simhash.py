@@ -3,8 +3,8 @@
 Similarity is the Jaccard coefficient of the sets of five-word shingles; two texts are linked at `similarity` (0.8)
 or more, and classes are the connected components of the links. Equal texts are one class whatever they are.
 
-Method. A fingerprint has 512 coordinates, each the sign of a sum over the distinct shingles. Each of `tables`
-tables orders all distinct texts by 64 coordinates of its own, followed by the whole fingerprint. A bucket is a run
+Method. A fingerprint has 512 coordinates, each the sign of a sum over the distinct shingles. Each of at least `tables`
+tables (more, where a larger input needs more bits: a pair at the threshold has a chance of MISS to meet in none) orders all distinct texts by 64 coordinates of its own, followed by the whole fingerprint. A bucket is a run
 that agrees on the first coordinates; a run of over `cap` texts takes additional bits until no bucket is larger.
 Texts of one bucket are compared by the distance of their fingerprints: far ones are no candidates, very near ones
 are linked, and the pairs between are decided by an exact comparison of their shingles. Texts of equal fingerprints
@@ -21,7 +21,10 @@ range-partitioned on the sampled bits: a hot prefix is spread over partitions, a
 
 from __future__ import annotations
 
+import gc
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +41,26 @@ BITS = 64 * WORDS
 _STEPS = (np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
 #: From so many shingles on, a distance is a good estimate of the similarity.
 MANY = 64
+#: How often a pair at the threshold itself may meet in no table, whatever the size of the input.
+MISS = 0.01
+#: Tables that are shuffled at once; the next group comes when the shuffle of the last one is gone.
+GROUP = 12
 
 
-def coordinates(tables: int) -> np.ndarray:
-    """The 64 sampled coordinates of each table."""
+def agreement(similarity: float) -> float:
+    """The chance that a coordinate agrees in two sets of that similarity, at its least, which is for equal sizes."""
+    return 1 - math.acos(min(2 * similarity / (1 + similarity), 1)) / math.pi
+
+
+def tables_for(similarity: float, bits: int) -> int:
+    """Tables after which a pair at the threshold has met in a bucket of `bits` coordinates, but for MISS."""
+    return math.ceil(math.log(MISS) / math.log1p(-min(agreement(similarity) ** bits, 1 - MISS)))
+
+
+def coordinates(tables: int, first: int = 0) -> np.ndarray:
+    """The 64 sampled coordinates of each table from `first` on."""
     rng = np.random.default_rng(20)
-    return np.stack([rng.permutation(BITS)[:64] for _ in range(tables)])
+    return np.stack([rng.permutation(BITS)[:64] for _ in range(first + tables)])[first:]
 
 
 def bits_of(hashes: np.ndarray) -> np.ndarray:
@@ -71,11 +88,11 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tid"), pa.array(n), prints], ["doc_id", "tid", "n", "print"])
 
 
-def _tables(tables: int):
+def _tables(tables: int, first: int = 0):
     """A row for each table of each fingerprint, with the 64 coordinates that the table samples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = coordinates(tables).ravel()
+        at = coordinates(tables, first).ravel()
         for batch in batches:
             m = len(batch)
             if not m:
@@ -220,13 +237,24 @@ def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.where(may(bit))
 
 
+def _met(distinct: DataFrame, tables: int, first: int, similarity: float, base: int, cap: int) -> DataFrame:
+    """(a, b, sure) of the tables from `first` on."""
+    rows = distinct.mapInArrow(_tables(tables, first), "t int, key long, tid binary, n int, print binary")
+    rows = rows.repartitionByRange("t", "key").sortWithinPartitions("t", "key", "print")
+    met = cut(rows.mapInArrow(_links(similarity, base, cap), "a binary, b binary, sure boolean"))
+    del rows
+    gc.collect()  # Spark deletes a shuffle when the driver's garbage is collected
+    distinct.sparkSession._jvm.System.gc()
+    return met
+
+
 def links(docs: DataFrame, distinct: DataFrame, similarity: float, tables: int, cap: int) -> DataFrame:
     """(a, b) by text digest, from `distinct` (tid, n, print) and the texts of `docs` (tid, text)."""
-    count = distinct.count()
-    base = max(8, int(np.ceil(np.log2(max(2 * count / cap, 1)))))
-    rows = distinct.mapInArrow(_tables(tables), "t int, key long, tid binary, n int, print binary")
-    rows = rows.repartitionByRange("t", "key").sortWithinPartitions("t", "key", "print")
-    pairs = cut(rows.mapInArrow(_links(similarity, base, cap), "a binary, b binary, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")))
+    distinct = cut(distinct)
+    base = max(8, int(np.ceil(np.log2(max(2 * distinct.count() / cap, 1)))))
+    number = max(tables, tables_for(similarity, base))
+    found = [_met(distinct, min(GROUP, number - at), at, similarity, base, cap) for at in range(0, number, GROUP)]
+    pairs = cut(reduce(DataFrame.unionAll, found).groupBy("a", "b").agg(F.max("sure").alias("sure")))
     unsure = pairs.where(~F.col("sure")).select("a", "b")
     wanted = cut(unsure.select(F.col("a").alias("tid")).unionAll(unsure.select(F.col("b").alias("tid"))).distinct())
     texts = _likely(docs, wanted).join(wanted, "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))

@@ -240,6 +240,30 @@ def test_simhash_splits_hot_buckets(spark):
     assert {got[i] for i in range(120)} == {0} and all(got[1000 + i] == 1000 + i for i in range(120))
 
 
+def edited_to(seed, likeness, n=300):
+    """Two texts of which one has a stretch of other words, so that their similarity is just `likeness` or more."""
+    w = words(seed, n).split()
+    shared = n - 4 - int((1 - likeness) / (1 + likeness) * (n - 4))
+    return " ".join(w), " ".join(w[: shared + 4] + words(f"{seed} other", n).split()[shared + 4 :])
+
+
+@pytest.mark.parametrize("bits", [8, 11, 13, 17])
+def test_tables_suffice_for_any_size(bits):
+    rng = np.random.default_rng(bits)
+    number = simhash.tables_for(0.8, bits)
+    at, cache, met = simhash.coordinates(number)[:, :bits], WordHashes(), []
+    for seed in range(300):
+        a, b = (simhash.bits_of(shingles(t, cache)) for t in edited_to(f"{bits} {seed}", 0.8 + 0.05 * rng.random()))
+        met.append((a[at] == b[at]).all(axis=1).any())
+    assert np.mean(met) > 0.97
+
+
+def test_simhash_makes_as_many_tables_as_bits_need(spark):
+    rows = [(2 * s + k, t) for s in range(60) for k, t in enumerate(edited_to(s, 0.85))]
+    got = {r.doc_id: r.class_id for r in simhash.classes(docs(spark, rows), tables=2).collect()}
+    assert sum(got[2 * s] == got[2 * s + 1] for s in range(60)) >= 58
+
+
 def test_equal_prints_over_cap():
     import pyarrow as pa
 
