@@ -8,7 +8,12 @@ tables (more, where a larger input needs more bits: a pair at the threshold has
 that agrees on the first coordinates; a run of over `cap` texts takes additional bits until no bucket is larger.
 Texts of one bucket are compared by the distance of their fingerprints: far ones are no candidates, very near ones
 are linked, and the pairs between are decided by an exact comparison of their shingles. Texts of equal fingerprints
-that even all bits don't part are linked to one of them, so an oversized bucket loses nothing.
+that even all bits don't part are linked to one of them, which stands for them.
+
+Oversized buckets. Additional bits part pairs. Each text therefore has a chance that a partner at the threshold has
+met it in none of its buckets, from the bits that these really took. Texts for which it is above MISS go to
+further tables among themselves, until none is left; where that takes longer than comparing all their fingerprints,
+those are compared, in blocks. A pair of which one text is done was met with that text's chance.
 
 Defined cases. Null is the empty text; texts without words are linked only with equal texts. A text of fewer than
 five words is one shingle. The class id is the least doc_id of the class (null where none has an id). Repeated rows
@@ -16,7 +21,8 @@ are equal texts. An empty table gives an empty table; other columns are not read
 
 Plan. Texts are read once for fingerprints and once for the pairs that need the exact comparison. Equal texts are
 collapsed by a partial aggregate before tables are made, so a group of copies is one row. Tables are
-range-partitioned on the sampled bits: a hot prefix is spread over partitions, and a task holds `cap` rows at once.
+range-partitioned on the sampled bits: a hot prefix is spread over partitions, and a task holds `cap` rows at once,
+or two blocks of texts of which all pairs are compared.
 """
 
 from __future__ import annotations
@@ -45,6 +51,12 @@ MANY = 64
 MISS = 0.01
 #: Tables that are shuffled at once; the next group comes when the shuffle of the last one is gone.
 GROUP = 12
+#: Texts are range-partitioned by so many bits more than a bucket has.
+SPREAD = 8
+#: What a bucket of more bits counts for: the coordinates that split a hot run are also those in which near copies differ.
+DEEP = 0.5
+#: Texts of a block where all pairs are compared; up to so many texts for each further table, that is the shorter way.
+BLOCK, PER_TABLE = 2048, 1024
 
 
 def agreement(similarity: float) -> float:
@@ -98,7 +110,7 @@ def _tables(tables: int, first: int = 0):
             if not m:
                 continue
             bits = np.unpackbits(np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint8).reshape(m, BITS // 8), axis=1)
-            keys = np.packbits(bits[:, at].reshape(m, tables, 64), axis=2).view(">i8").astype(np.int64)
+            keys = np.ascontiguousarray(np.packbits(bits[:, at].reshape(m, tables, 64), axis=2)).view(">i8").astype(np.int64)
             rows = pa.array(np.repeat(np.arange(m), tables))
             columns = [pa.array(np.tile(np.arange(tables, dtype=np.int32), m)), pa.array(keys.ravel()), *[batch.column(c).take(rows) for c in ("tid", "n", "print")]]
             yield pa.RecordBatch.from_arrays(columns, ["t", "key", "tid", "n", "print"])
@@ -112,9 +124,9 @@ def estimate(distance: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return common / np.maximum(a + b - common, 1e-9)
 
 
-def _shared_bits(rows: np.ndarray) -> np.ndarray:
-    """For each row of big 64-bit words: leading bits that it shares with the first."""
-    x = rows ^ rows[0]
+def _shared_bits(rows: np.ndarray, with_row: np.ndarray | None = None) -> np.ndarray:
+    """For each row of big 64-bit words: leading bits that it shares with the first, or with another row."""
+    x = rows ^ (rows[0] if with_row is None else with_row)
     word = (x != 0).argmax(axis=1)
     first = x[np.arange(len(x)), word]
     high = (first >> np.uint64(32)).astype(np.float64)
@@ -123,9 +135,9 @@ def _shared_bits(rows: np.ndarray) -> np.ndarray:
     return np.where(first == 0, 64 * x.shape[1], 64 * word + lead)
 
 
-def bucket_links(prints: np.ndarray, n: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, sure) of one bucket. Sure pairs come as stars, unsure ones only between different stars."""
-    i, j = np.triu_indices(len(n), 1)
+def bucket_links(prints: np.ndarray, n: np.ndarray, similarity: float, pairs: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, sure) of one bucket, or of some pairs. Sure pairs come as stars, unsure ones only between different stars."""
+    i, j = np.triu_indices(len(n), 1) if pairs is None else pairs
     d = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int64)
     near = d < BITS // 4  # beyond it no pair comes near any similarity of use
     i, j, d = i[near], j[near], d[near]
@@ -150,24 +162,46 @@ def bucket_links(prints: np.ndarray, n: np.ndarray, similarity: float) -> tuple[
     return np.r_[label[stars], i[maybe]], np.r_[stars, j[maybe]], np.r_[np.ones(len(stars), bool), np.zeros(maybe.sum(), bool)]
 
 
-def _links(similarity: float, base_bits: int, cap: int):
+def missed(similarity: float, bits):
+    """Logarithm of the chance that a pair at the threshold doesn't meet in a bucket of so many bits."""
+    return np.log1p(-np.minimum(agreement(similarity) ** np.asarray(bits, float), 1 - MISS))
+
+
+def _links(similarity: float, base_bits: int, cap: int, lost: bool = False):
+    """(a, b, sure); if wanted, also (a, null, null, lost) for texts whose buckets took more bits: what `missed` is short of."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, words, sizes, ids = np.empty(0, np.int32), np.empty((0, 1 + WORDS), np.uint64), np.empty(0, np.int32), np.empty(0, object)
-        found: list[tuple[bytes, bytes, bool]] = []
+        found: list[tuple] = []
+        before: tuple[int, np.ndarray] | None = None  # the row before the first; unknown where a partition begins
 
         def emit() -> pa.RecordBatch:
-            a, b, sure = zip(*found) if found else ((), (), ())
+            a, b, sure, short = zip(*found) if found else ((), (), (), ())
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(sure, pa.bool_())], ["a", "b", "sure"])
+            columns = [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(sure, pa.bool_()), pa.array(short, pa.float64())]
+            return pa.RecordBatch.from_arrays(columns[: 3 + lost], ["a", "b", "sure", "lost"][: 3 + lost])
+
+        def shares(m: int, other: tuple[int, np.ndarray] | None) -> np.ndarray:
+            """Leading bits that each of the first m rows has in common with a row outside their bucket, at most."""
+            if other is None:
+                return np.full(m, base_bits + SPREAD - 1)
+            return _shared_bits(words[:m], other[1]) if other[0] == table[0] else np.full(m, -1)
+
+        def note(m: int) -> None:
+            after = (table[m], words[m]) if m < len(ids) else None
+            depth = np.maximum(shares(m, before), shares(m, after)) + 1
+            deep = np.flatnonzero(depth > base_bits)
+            short = DEEP * missed(similarity, depth[deep]) - missed(similarity, base_bits)
+            found.extend((ids[i], None, None, float(x)) for i, x in zip(deep, short))
 
         def bucket(m: int) -> None:
             if m > 1:
                 for i, j, sure in zip(*bucket_links(words[:m, 1:], sizes[:m], similarity)):
                     a, b = ids[i], ids[j]
-                    found.append((min(a, b), max(a, b), bool(sure)))
+                    found.append((min(a, b), max(a, b), bool(sure), None))
 
         def advance(last: bool) -> None:
-            nonlocal table, words, sizes, ids
+            nonlocal table, words, sizes, ids, before
             while len(ids) > cap or last and len(ids):
                 shared = _shared_bits(words[: cap + 1])
                 shared[table[: cap + 1] != table[0]] = -1
@@ -178,6 +212,11 @@ def _links(similarity: float, base_bits: int, cap: int):
                     m, step = cap, cap - 1
                 bucket(m)
                 first = 0 if step == m else 1
+                if lost and first:
+                    found.extend((x, None, None, STANDS) for x in ids[1:cap])
+                elif lost:
+                    note(m)
+                    before = table[m - 1], words[m - 1].copy()
                 keep = np.r_[np.zeros(first, np.int64), np.arange(step + first, len(ids))]
                 table, words, sizes, ids = table[keep], words[keep], sizes[keep], ids[keep]
 
@@ -200,6 +239,52 @@ def _links(similarity: float, base_bits: int, cap: int):
     return run
 
 
+#: Lost by a text for which another one of the same fingerprint stands: it is done.
+STANDS = -1e9
+
+
+def _block_links(similarity: float, rows: int = 256):
+    """(a, b, sure) of all pairs between the two blocks of a group, or within its only one."""
+
+    def run(part: pa.Table) -> pa.Table:
+        prints = np.frombuffer(b"".join(part.column("print").to_pylist()), np.uint64).reshape(len(part), WORDS)
+        n, ids = part.column("n").to_numpy(), np.array(part.column("tid").to_pylist(), object)
+        right = part.column("right").to_numpy(zero_copy_only=False).astype(bool)
+        left, other = np.flatnonzero(~right), np.flatnonzero(right)
+        one = part.column("o")[0].as_py() == 0
+        out: list[tuple] = []
+        for at in range(0, len(left), rows):
+            i, j = (x.ravel() for x in np.meshgrid(left[at : at + rows], left if one else other, indexing="ij"))
+            pairs = (i[i < j], j[i < j]) if one else (i, j)
+            out += ((min(ids[x], ids[y]), max(ids[x], ids[y]), bool(z)) for x, y, z in zip(*bucket_links(prints, n, similarity, pairs)))
+        a, b, sure = zip(*out) if out else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "sure": pa.array(sure, pa.bool_())})
+
+    return run
+
+
+def _released(met: DataFrame) -> DataFrame:
+    """`met` as a table; Spark deletes the shuffles behind it when the driver's garbage is collected."""
+    done = cut(met)
+    del met
+    gc.collect()
+    done.sparkSession._jvm.System.gc()
+    return done
+
+
+def _all_pairs(left: DataFrame, count: int, similarity: float) -> list[DataFrame]:
+    """(a, b, sure) of all pairs of `left`: block k meets block k + o, for a group of offsets o at once."""
+    blocks = max(1, -(-count // BLOCK))
+    k, out, last = F.pmod(F.xxhash64("tid"), F.lit(blocks)), [], blocks // 2
+    for at in range(0, last + 1, GROUP):
+        offsets = F.explode(F.sequence(F.lit(at), F.lit(min(at + GROUP - 1, last))))
+        rows = left.select("tid", "n", "print", k.alias("k"), offsets.alias("o"))
+        mate = rows.where("o > 0").withColumn("k", F.pmod(F.col("k") - F.col("o"), F.lit(blocks)))
+        both = rows.withColumn("right", F.lit(False)).unionAll(mate.withColumn("right", F.lit(True)))
+        out.append(_released(both.groupBy("o", "k").applyInArrow(_block_links(similarity), "a binary, b binary, sure boolean")))
+    return out
+
+
 def _verified(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -238,22 +323,42 @@ def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _met(distinct: DataFrame, tables: int, first: int, similarity: float, base: int, cap: int) -> DataFrame:
-    """(a, b, sure) of the tables from `first` on."""
+    """(a, b, sure, lost) of the tables from `first` on."""
     rows = distinct.mapInArrow(_tables(tables, first), "t int, key long, tid binary, n int, print binary")
-    rows = rows.repartitionByRange("t", "key").sortWithinPartitions("t", "key", "print")
-    met = cut(rows.mapInArrow(_links(similarity, base, cap), "a binary, b binary, sure boolean"))
-    del rows
-    gc.collect()  # Spark deletes a shuffle when the driver's garbage is collected
-    distinct.sparkSession._jvm.System.gc()
-    return met
+    lead = F.shiftright("key", max(64 - base - SPREAD, 0))
+    rows = rows.repartitionByRange("t", lead).sortWithinPartitions("t", "key", "print", "tid")
+    return _released(rows.mapInArrow(_links(similarity, base, cap, lost=True), "a binary, b binary, sure boolean, lost double"))
+
+
+def _base(count: int, cap: int) -> int:
+    return max(8, int(np.ceil(np.log2(max(2 * count / cap, 1)))))
+
+
+def _candidates(distinct: DataFrame, similarity: float, tables: int, cap: int) -> list[DataFrame]:
+    """(a, b, sure) of all tables, until no text is left that may have been parted from a partner too often."""
+    left, first, out = distinct.withColumn("missed", F.lit(0.0)), 0, []
+    count = distinct.count()
+    base = _base(count, cap)
+    number = max(tables, tables_for(similarity, base))
+    while True:
+        found = [_met(left.drop("missed"), min(GROUP, number - at), first + at, similarity, base, cap) for at in range(0, number, GROUP)]
+        first += number
+        out += [f.where("b IS NOT NULL").drop("lost") for f in found]
+        lost = reduce(DataFrame.unionAll, found).where("b IS NULL").groupBy(F.col("a").alias("tid")).agg(F.sum("lost").alias("lost"))
+        now = F.col("missed") + F.lit(float(number * missed(similarity, base))) + F.coalesce("lost", F.lit(0.0))
+        left = cut(left.join(lost, "tid", "left").select("tid", "n", "print", now.alias("missed")).where(F.col("missed") > math.log(MISS)))
+        count, mean, most = left.agg(F.count(F.lit(1)), F.avg("missed"), F.max("missed")).first()
+        if not count:
+            return out
+        if count <= PER_TABLE * max(1, (mean - math.log(MISS)) / max(-mean / first, 1e-9)):
+            return out + _all_pairs(left, count, similarity)
+        base = _base(count, cap)
+        number = min(2 * GROUP, math.ceil((most - math.log(MISS)) / -float(missed(similarity, base))))
 
 
 def links(docs: DataFrame, distinct: DataFrame, similarity: float, tables: int, cap: int) -> DataFrame:
     """(a, b) by text digest, from `distinct` (tid, n, print) and the texts of `docs` (tid, text)."""
-    distinct = cut(distinct)
-    base = max(8, int(np.ceil(np.log2(max(2 * distinct.count() / cap, 1)))))
-    number = max(tables, tables_for(similarity, base))
-    found = [_met(distinct, min(GROUP, number - at), at, similarity, base, cap) for at in range(0, number, GROUP)]
+    found = _candidates(cut(distinct), similarity, tables, cap)
     pairs = cut(reduce(DataFrame.unionAll, found).groupBy("a", "b").agg(F.max("sure").alias("sure")))
     unsure = pairs.where(~F.col("sure")).select("a", "b")
     wanted = cut(unsure.select(F.col("a").alias("tid")).unionAll(unsure.select(F.col("b").alias("tid"))).distinct())

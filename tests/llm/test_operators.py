@@ -264,6 +264,35 @@ def test_simhash_makes_as_many_tables_as_bits_need(spark):
     assert sum(got[2 * s] == got[2 * s + 1] for s in range(60)) >= 58
 
 
+@pytest.mark.parametrize("per_table", [1024, 1])
+def test_simhash_finds_copies_in_hot_buckets(spark, monkeypatch, per_table):
+    """Texts that share boilerplate fill buckets far beyond `cap`; only some have a near copy."""
+    monkeypatch.setattr(simhash, "PER_TABLE", per_table)
+    boilerplate, rows = words("boilerplate", 154), []
+    for i in range(320):
+        own = words(f"own {i}", 46)
+        rows.append((2 * i, f"{boilerplate} {own}"))
+        if i < 60:
+            rows.append((2 * i + 1, " ".join([boilerplate, *own.split()[:30], words(f"edit {i}", 16)])))
+    got = {r.doc_id: r.class_id for r in simhash.classes(docs(spark, rows), cap=2).collect()}
+    want = dict(brute_classes(rows))
+    assert sum(want[2 * i] == want[2 * i + 1] for i in range(60)) == 60 and len(set(want.values())) == 320
+    assert sum(got[i] != want[i] for i in want) <= 2
+
+
+def test_lost_bits_are_counted():
+    """A run that is split notes for each text the bits that part it from the rest of the run."""
+    import pyarrow as pa
+
+    n, keys = 12, [(k << 56) + (k % 4 << 40) for k in [0] * 3 + [1] * 9]
+    prints = [bytes([i]) * 64 for i in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array(keys, pa.int64()), pa.array([f"{i:016d}".encode() for i in range(n)]), pa.array([100] * n, pa.int32()), pa.array(prints)], ["t", "key", "tid", "n", "print"])
+    rows = [r for b in simhash._links(0.8, 8, 4, lost=True)(iter([batch])) for r in b.to_pylist() if r["b"] is None]
+    lost = {int(r["a"]): r["lost"] for r in rows}
+    assert {i for i in lost} >= set(range(3, 12)) and all(x > 0 for x in lost.values())
+    assert lost[4] > lost[0]  # parted after all 64 sampled bits, not at the edge of a partition
+
+
 def test_equal_prints_over_cap():
     import pyarrow as pa
 
