@@ -124,6 +124,16 @@ def estimate(distance: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return common / np.maximum(a + b - common, 1e-9)
 
 
+#: Deviations by which the distance of a pair at the threshold may be off; a tie of few shingles adds to it.
+MANY_OFF, FEW_OFF = 4, 7
+
+
+def farthest(similarity: float, a: np.ndarray, b: np.ndarray, off) -> np.ndarray:
+    """The distance that sets of a and b shingles have at the threshold, and `off` deviations more; most for a = b."""
+    apart = np.arccos(np.minimum(similarity / (1 + similarity) * (a + b) / np.sqrt(np.maximum(a * b, 1)), 1)) / np.pi
+    return BITS * apart + off * np.sqrt(BITS * apart * (1 - apart))
+
+
 def _shared_bits(rows: np.ndarray, with_row: np.ndarray | None = None) -> np.ndarray:
     """For each row of big 64-bit words: leading bits that it shares with the first, or with another row."""
     x = rows ^ (rows[0] if with_row is None else with_row)
@@ -139,13 +149,13 @@ def bucket_links(prints: np.ndarray, n: np.ndarray, similarity: float, pairs: tu
     """(i, j, sure) of one bucket, or of some pairs. Sure pairs come as stars, unsure ones only between different stars."""
     i, j = np.triu_indices(len(n), 1) if pairs is None else pairs
     d = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int64)
-    near = d < BITS // 4  # beyond it no pair comes near any similarity of use
+    near = d <= farthest(similarity, np.ones(1), np.ones(1), FEW_OFF)[0]
     i, j, d = i[near], j[near], d[near]
     a, b = n[i].astype(np.float64), n[j].astype(np.float64)
     s = estimate(d, a, b)
     many = np.minimum(a, b) >= MANY
     sure = many & (s >= similarity + 0.6 * (1 - similarity))
-    maybe = ~sure & (s >= np.where(many, similarity - 0.09, similarity - 0.25)) & (np.minimum(a, b) >= similarity * np.maximum(a, b))
+    maybe = ~sure & (d <= farthest(similarity, a, b, np.where(many, MANY_OFF, FEW_OFF))) & (np.minimum(a, b) >= similarity * np.maximum(a, b))
     label = np.arange(len(n))
     if sure.any():
         p, q = i[sure], j[sure]

@@ -247,6 +247,16 @@ def edited_to(seed, likeness, n=300):
     return " ".join(w), " ".join(w[: shared + 4] + words(f"{seed} other", n).split()[shared + 4 :])
 
 
+@pytest.mark.parametrize(("similarity", "most"), [(0.8, 1), (0.5, 1), (0.4, 1)])
+def test_distance_filter_keeps_pairs_at_the_threshold(similarity, most):
+    cache, lost = WordHashes(), 0
+    for seed in range(1000):
+        h = [shingles(t, cache) for t in edited_to(f"far {seed}", similarity + 0.005)]
+        prints = np.stack([np.packbits(simhash.bits_of(x)) for x in h]).view(np.uint64)
+        lost += not len(simhash.bucket_links(prints, np.array([len(x) for x in h]), similarity)[0])
+    assert lost <= most
+
+
 @pytest.mark.parametrize("bits", [8, 11, 13, 17])
 def test_tables_suffice_for_any_size(bits):
     rng = np.random.default_rng(bits)
