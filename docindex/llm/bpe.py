@@ -1,7 +1,8 @@
 """BPE encoding and decoding through a table of distinct words.
 
 A text is split into the words that the tokenizer's own pre-tokenizer makes of it; each distinct word is encoded
-once, and the ids are joined back by position. Decoding joins ids to their pieces and reads the bytes as UTF-8.
+once in a process, and the ids are put together by position. Decoding looks up the piece of each id and reads the bytes
+as UTF-8. Neither is a join.
 
 The table of distinct words lives in each Python process, not in one shuffle of the corpus: a third of the words of invented
 or scraped prose occur once, so (document, position, word) rows, or even distinct pairs, are several times the size
