@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -505,7 +506,7 @@ def test_mixing(spark, none):
     assert (rate >= 0).all() and np.allclose(p.sum(axis=1), 1)
     totals = (rate * t) @ p
     assert np.allclose(totals / t.sum(), [0.5, 0.2, 0.3], atol=1e-3)
-    assert np.allclose([r.rate for r in got if not r.tokens], rate[[i for i, r in enumerate(got) if not r.tokens]])
+    assert {r.rate for r in got if not r.tokens} == {1.0}
     mixed = mixing.apply_mix(frame, lab, targets=targets)
     kept = collections.Counter(r.doc_id for r in mixed.collect())
     assert mixed.columns == frame.columns and set(kept) == {r[0] for r in rows} and kept[503] >= 2 and kept[80] >= 2
@@ -517,18 +518,53 @@ def test_mixing(spark, none):
         mixing.mix(frame, lab, {"xx": 1.0})
 
 
-@pytest.mark.parametrize("wanted", [(0.5, 0.3, 0.2), (0.2, 0.6, 0.2)])
+@pytest.mark.parametrize("wanted", [(0.5, 0.3, 0.2), (0.2, 0.6, 0.2), (0.0, 0.0, 1.0)])
 def test_rates_are_least_squares(spark, wanted):
-    """Targets in and out of reach, against many plain steps in numpy."""
+    """Targets in and out of reach, against all sets of at most three documents: one of them holds a solution."""
     rng = np.random.default_rng(5)
     p = rng.dirichlet([1.0, 1.0, 1.0], 40) * 0.6 + np.array([0.4, 0.0, 0.0])
+    p[7] = p[3]  # documents of one direction share it
     t = rng.integers(1, 50, 40)
-    frame = spark.createDataFrame([(i, int(n), *map(float, q)) for i, (n, q) in enumerate(zip(t, p))], "doc_id long, tokens long, p0 double, p1 double, p2 double")
+    frame = spark.createDataFrame([(i, int(n), *map(float, q)) for i, (n, q) in enumerate(zip(t, p))] + [(99, 0, 0.0, 0.0, 1.0)], "doc_id long, tokens long, p0 double, p1 double, p2 double")
     goal, whole = np.array(wanted), t.sum()
-    rate = np.array([r.rate for r in mixing.fit_rates(frame.coalesce(1), list(map(float, goal * whole)), steps=30).orderBy("doc_id").collect()])
-    a, x = (p * t[:, None]).T / whole, np.ones(40)
-    step = 1 / np.linalg.norm(a @ a.T, 2)
-    for _ in range(20000):
-        x = np.maximum(0, x - step * a.T @ (a @ x - goal))
-    off = lambda r: np.linalg.norm(a @ r - goal)
-    assert (rate >= 0).all() and off(rate) < off(x) + 0.02
+    got = mixing.fit_rates(frame.coalesce(1), list(map(float, goal * whole)))
+    assert got.columns == [*frame.columns, "rate"]
+    rate = np.array([r.rate for r in got.where("doc_id < 99").orderBy("doc_id").collect()])
+    a = (p * t[:, None]).T / whole
+    best = np.linalg.norm(goal)
+    for n in (1, 2, 3):
+        for some in itertools.combinations(range(40), n):
+            x = np.linalg.lstsq(a[:, some], goal, rcond=None)[0]
+            if (x >= 0).all():
+                best = min(best, np.linalg.norm(a[:, some] @ x - goal))
+    assert (rate >= 0).all() and np.linalg.norm(a @ rate - goal) <= best + 2e-4
+    assert best < 1e-9 or np.isclose(rate[3], rate[7])
+
+
+def test_unreached_rates_are_reported(spark):
+    rng = np.random.default_rng(6)
+    p = rng.dirichlet([1.0, 1.0, 1.0], 40) * 0.6 + np.array([0.4, 0.0, 0.0])
+    frame = spark.createDataFrame([(i, 1, *map(float, q)) for i, q in enumerate(p)], "doc_id long, tokens long, p0 double, p1 double, p2 double")
+    with pytest.warns(UserWarning, match="direction"):
+        mixing.fit_rates(frame.coalesce(1), [4.0, 32.0, 4.0], steps=2, edges=1)
+
+
+def test_posteriors_against_brute_force(spark):
+    """Words of any length and number count; words of fewer than three documents of the sample don't."""
+    rng = random.Random(8)
+    long_word, voc = "w" * 5000, [f"v{i}" for i in range(6000)]
+    rows = [(i, " ".join([*rng.choices(voc[i % 2 * 3000 : i % 2 * 3000 + 3000], k=400), *["both", long_word][: 1 + i % 2]]), "s", "ab"[i % 2]) for i in range(40)] + [(50, None, "s", "a"), (51, "unseen", "s", "b")]
+    frame = docs(spark, rows)
+    lab = frame.where("doc_id < 30").select("doc_id", F.col("lang").alias("domain"))
+    sample = [(set(t.split()), d) for i, t, _, d in rows if i < 30]
+    n = {d: sum(x == d for _, x in sample) for d in "ab"}
+    count = {d: collections.Counter(w for ws, x in sample if x == d for w in ws) for d in "ab"}
+    known = {w for d in "ab" for w in count[d] if count["a"][w] + count["b"][w] >= 3}
+    assert len(known) > 1000 and long_word in known
+    rated, domains = mixing.mix(frame, lab)
+    assert domains == ["a", "b"]
+    for r in rated.collect():
+        ws = [w for w in set((dict((i, t) for i, t, *_ in rows)[r.doc_id] or "").split()) if w in known]
+        weight = min(len(ws), 12) / len(ws) if ws else 0
+        s = [np.log(n[d] / 30) + weight * sum(np.log((count[d][w] + 0.5) / (n[d] + 1)) for w in ws) for d in "ab"]
+        assert np.isclose(r.p0, 1 / (1 + np.exp(s[1] - s[0])), atol=1e-9)
