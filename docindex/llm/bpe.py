@@ -1,34 +1,40 @@
 """BPE encoding and decoding through a table of distinct words.
 
-A text is split into the words that the tokenizer's own pre-tokenizer makes of it; each distinct word is encoded
-once in a process, and the ids are put together by position. Decoding looks up the piece of each id and reads the bytes
-as UTF-8. Neither is a join.
+A text is split into the words that the tokenizer's own pre-tokenizer makes of it. Each distinct word of the corpus is
+encoded once, its pieces are joined to it by id, and both come back to the texts by position.
 
-The table of distinct words lives in each Python process, not in one shuffle of the corpus: a third of the words of invented
-or scraped prose occur once, so (document, position, word) rows, or even distinct pairs, are several times the size
-of the texts, while encoding a word costs less than moving it. A process encodes a word once as long as its table
-holds it (`table_words` distinct words, after which it starts afresh, so memory is bounded on any vocabulary).
+Plan. Rows of (document, position, word) would be several times the texts, so words are counted up before they are
+shuffled: a task numbers the distinct words of a block of documents (up to BLOCK_WORDS words or BLOCK_DISTINCT distinct
+ones) and writes the numbers of each document by position, and each block's words once.
+
+1. Block words are shuffled by word. There, a word is one row of the table of distinct words: it is encoded once, its
+   ids are joined to the table of pieces (broadcast; its size is the vocabulary's and checked), and the row joins
+   the block words, from the same shuffle. A hot word has one row for each block, and these are streamed.
+2. (block, number, ids, bytes) goes back to its block, packed, and the numbers of the documents with it; a task reads a
+   block's words first and then streams its documents. It holds the words of one block.
+
+Everything between is a table in the shared folder.
 
 Defined cases. Null and empty texts have no tokens. Special tokens in a text are matched as the tokenizers library
-does by default. Repeated rows are encoded alike; an empty table gives an empty table.
+does by default. Repeated rows are encoded alike; an empty table gives an empty table. Bytes that are no UTF-8 are read
+with replacement characters.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import struct
+import uuid
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, text_of
+from .common import cut, free_shuffles, remove, scratch, small_batches, text_of
 
 #: The word pattern of byte-level BPE, as its files' pre-tokenizer has it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -36,6 +42,13 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: The same for texts of ASCII characters alone.
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 
+#: A block ends with the document that reaches one of these.
+BLOCK_WORDS, BLOCK_DISTINCT = 1 << 23, 1 << 20
+#: Words of a row of a block's words; words of a row that goes back to its block.
+ROW_WORDS, PACKED_WORDS = 20_000, 100_000
+#: A larger vocabulary isn't broadcast.
+BROADCAST_PIECES = 1_000_000
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -51,9 +64,9 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class Codec:
-    """Encodes and decodes whole texts; `path` is a byte-level BPE file of the tokenizers library."""
+    """Splits texts and encodes words; `path` is a byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str, table_words: int = 200_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -63,12 +76,14 @@ class Codec:
         self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         self.words, self.ascii_words = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN, re.ASCII).findall
-        alphabet = _byte_alphabet()
-        self.stand_in = [c for _, c in sorted((b, c) for c, b in alphabet.items())]
-        pieces = {i: bytes(alphabet[c] for c in piece) for piece, i in tokenizer.get_vocab(with_added_tokens=False).items()}
-        pieces |= {i: t.encode() for t, i in self.special.items()}
-        self.pieces = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
-        self.table_words, self.table = table_words, {}
+        self.alphabet = _byte_alphabet()
+        self.stand_in = [c for _, c in sorted((b, c) for c, b in self.alphabet.items())]
+        self.vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+
+    def pieces(self) -> dict[int, bytes]:
+        """The bytes of each id."""
+        found = {i: bytes(self.alphabet[c] for c in piece) for piece, i in self.vocabulary.items()}
+        return found | {i: t.encode() for t, i in self.special.items()}
 
     def split(self, text: str) -> list[str]:
         find = self.ascii_words if text.isascii() else self.words
@@ -80,79 +95,215 @@ class Codec:
             at = m.end()
         return out + find(text[at:])
 
-    def _encode_word(self, word: str) -> bytes:
-        """The ids as little-endian 32-bit integers."""
+    def encode_word(self, word: str) -> list[int]:
         if word in self.special:
-            ids = [self.special[word]]
-        else:
-            ids = [t.id for t in self.model.tokenize("".join(map(self.stand_in.__getitem__, word.encode())))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+            return [self.special[word]]
+        return [t.id for t in self.model.tokenize("".join(map(self.stand_in.__getitem__, word.encode())))]
+
+
+_codecs: dict[str, Codec] = {}
+
+
+def codec(path: str) -> Codec:
+    """One for each process."""
+    if path not in _codecs:
+        _codecs[path] = Codec(path)
+    return _codecs[path]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers as all low bytes, then all second bytes and so on: the high ones take no room once compressed."""
+    return np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _of_planes(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        split = [self.split(t) for t in texts]
-        distinct = set(chain.from_iterable(split))
-        new = [w for w in distinct if w not in self.table]
-        if len(self.table) + len(new) > self.table_words:
-            self.table.clear()
-            new = list(distinct)
-        self.table.update(zip(new, map(self._encode_word, new)))
-        return [b"".join(map(self.table.__getitem__, words)) for words in split]
+class Numbers(dict):
+    """word -> its number, in the order of first use."""
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
 
-_codecs: dict[tuple[str, int], Codec] = {}
+def _split(path: str, schema: pa.Schema, block_words: int, block_distinct: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, numbers, words, block = codec(path), Numbers(), 0, uuid.uuid4().int >> 65
+
+        def rows(**columns) -> pa.RecordBatch:
+            n = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * n), f.type) if f.name not in columns or isinstance(columns[f.name], list) else columns[f.name] for f in schema], schema=schema)
 
+        def block_rows() -> Iterator[pa.RecordBatch]:
+            every = list(numbers)
+            for at in range(0, len(every), ROW_WORDS):
+                yield rows(block=[block], first=[at], words=[every[at : at + ROW_WORDS]], kind=[0])
 
-def codec(path: str, table_words: int = 200_000) -> Codec:
-    """One for each process, so that its table serves all its tasks."""
-    if (path, table_words) not in _codecs:
-        _codecs[path, table_words] = Codec(path, table_words)
-    return _codecs[path, table_words]
+        for batch in batches:
+            docs, blocks, start = [], [], 0
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                split = own.split(text)
+                docs.append(_planes(np.fromiter(map(numbers.__getitem__, split), np.uint32, len(split))))
+                blocks.append(block)
+                words += len(split)
+                if words >= block_words or len(numbers) >= block_distinct:
+                    yield from block_rows()
+                    numbers, words, block = Numbers(), 0, uuid.uuid4().int >> 65
+            yield rows(block=blocks, doc_id=batch.column("doc_id"), codes=docs, kind=[1] * len(docs))
+        yield from block_rows()
 
+    return run
+
+
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """(id, piece) of the vocabulary; broadcast up to BROADCAST_PIECES."""
+    held = codec(path).pieces()
+    table = spark.createDataFrame(pa.table({"id": pa.array(held, pa.int32()), "piece": pa.array(held.values(), pa.binary())}))
+    return F.broadcast(table) if len(held) <= BROADCAST_PIECES else table
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block and number, as few rows of numbers, ids and bytes."""
+
+    def packed(part: pa.RecordBatch) -> pa.RecordBatch:
+        ids, piece = part.column("ids"), part.column("bytes")
+        code = part.column("code").to_numpy()
+        lengths, sizes = ids.value_lengths().to_numpy(), pa.compute.binary_length(piece).to_numpy()
+        fields = [_planes(np.diff(code, prepend=0)), _planes(lengths), _planes(ids.flatten().to_numpy()), _planes(sizes), b"".join(piece.to_pylist())]
+        return pa.RecordBatch.from_arrays([part.column("block")[:1], *[pa.array([f], pa.binary()) for f in fields]], ["block", "codes", "lengths", "ids", "sizes", "bytes"])
+
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        ends = np.flatnonzero(np.diff(block)) + 1
+        for a, b in zip([0, *ends], [*ends, len(block)]):
+            for at in range(a, b, PACKED_WORDS):
+                yield packed(batch.slice(at, min(b - at, PACKED_WORDS)))
+
+
+def _ragged(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the slices `which` of flat, one after the other; the length of each)."""
+    sizes = offsets[which + 1] - offsets[which]
+    ends = np.cumsum(sizes)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(offsets[which] - ends + sizes, sizes)
+    return flat[at], sizes
+
+
+class Block:
+    """The words of a block by number: ids and bytes."""
+
+    def __init__(self):
+        self.parts: list[tuple] = []
+
+    def add(self, codes: bytes, lengths: bytes, ids: bytes, sizes: bytes, raw: bytes) -> None:
+        self.parts.append((np.cumsum(_of_planes(codes)), _of_planes(lengths), _of_planes(ids), _of_planes(sizes), np.frombuffer(raw, np.uint8)))
+
+    def close(self) -> None:
+        codes, lengths, ids, sizes, raw = map(np.concatenate, zip(*self.parts)) if self.parts else (np.empty(0, np.int64),) * 5
+        order = np.argsort(codes)
+        starts = lambda x: np.r_[0, np.cumsum(x, dtype=np.int64)]
+        self.ids, n = _ragged(ids.astype(np.uint32), starts(lengths), order)
+        self.bytes, m = _ragged(raw.astype(np.uint8), starts(sizes), order)
+        self.at_id, self.at_byte, self.parts = starts(n), starts(m), []
+
+
+def _assemble(with_ids: bool, schema: pa.Schema, group_words: int = 1 << 20):
+    """Rows of a partition by block, the words of each before its documents."""
+
+    def results(block: Block, ids: list, codes: list[np.ndarray]) -> pa.RecordBatch:
+        n_words, flat = np.array([len(c) for c in codes]), np.concatenate(codes).astype(np.int64)
+        word_ends = np.r_[0, np.cumsum(n_words)]
+        tokens, lengths = _ragged(block.ids, block.at_id, flat)
+        raw, sizes = _ragged(block.bytes, block.at_byte, flat)
+        ends = np.r_[0, np.cumsum(lengths)][word_ends]
+        byte_ends = np.r_[0, np.cumsum(sizes)][word_ends]
+        tokens = np.ascontiguousarray(tokens, "<u4")
+        sums = [hashlib.sha256(tokens[a:b]).hexdigest() for a, b in zip(ends, ends[1:])]
+        raw = raw.tobytes()
+        back = [hashlib.sha256(raw[a:b].decode("utf-8", "replace").encode()).hexdigest() for a, b in zip(byte_ends, byte_ends[1:])]
+        columns = [pa.array(ids, schema.field("doc_id").type), pa.array(np.diff(ends)), pa.array(sums), pa.array(back)]
+        if with_ids:
+            columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens.view("<i4"))))
+        return pa.RecordBatch.from_arrays(columns, schema.names)
 
-def _run(path: str, table_words: int, with_ids: bool, group: int = 100):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, table_words)
+        at, block, words = None, Block(), False
         for batch in batches:
-            for at in range(0, len(batch), group):
-                part = batch.slice(at, group)
-                raw = own.encode_batch(part.column("text").to_pylist())
-                ids = [np.frombuffer(x, "<u4") for x in raw]
-                sums = [hashlib.sha256(x).hexdigest() for x in raw]
-                back = [hashlib.sha256(own.decode(x.tolist()).encode()).hexdigest() for x in ids]
-                columns = [part.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array(sums), pa.array(back)]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                    flat = np.frombuffer(b"".join(raw), "<i4")
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names)
+            ids, codes, n = [], [], 0
+            for b, kind, doc_id, code, *rest in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "doc_id", "codes", "lengths", "ids", "sizes", "bytes"))):
+                if (b != at or n >= group_words) and codes:
+                    yield results(block, ids, codes)
+                    ids, codes, n = [], [], 0
+                if b != at:
+                    at, block, words = b, Block(), True
+                if not kind:
+                    block.add(code, *rest)
+                    continue
+                if words:
+                    block.close()
+                    words = False
+                ids.append(doc_id)
+                codes.append(_of_planes(code))
+                n += len(codes[-1])
+            if codes:
+                yield results(block, ids, codes)
 
     return run
 
 
-def encode(docs: DataFrame, path: str | None = None, table_words: int = 200_000, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if wanted, ids, for each row; no shuffle."""
-    small_batches(docs.sparkSession)
+def _arrow(schema: T.StructType) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(schema)
+
+
+def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, block_distinct: int = BLOCK_DISTINCT) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if wanted, ids, for each row."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    path = path or default_path()
+    id_field = T.StructField("doc_id", docs.schema[id_col].dataType)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType)]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    split = T.StructType([T.StructField("block", T.LongType()), id_field]).add("codes", "binary").add("first", "integer").add("words", T.ArrayType(T.StringType())).add("kind", "integer")
+    at = scratch(spark)
+    rows.mapInArrow(_split(path, _arrow(split), block_words, block_distinct), split).write.partitionBy("kind").option("compression", "zstd").parquet(at)
+    named = _named(spark.read.schema(split).parquet(at), path)
+    remove(spark, f"{at}/kind=0")
+    free_shuffles(spark)
+    numbers = spark.read.schema(split).parquet(at).where("kind = 1").select("block", "kind", "doc_id", "codes")
+    both = named.withColumn("kind", F.lit(0)).unionByName(numbers, allowMissingColumns=True)
+    placed = both.repartition("block").sortWithinPartitions("block", "kind")
+    schema = T.StructType([id_field]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
-    return rows.mapInArrow(_run(path or default_path(), table_words, with_ids), schema)
+    return placed.mapInArrow(_assemble(with_ids, _arrow(schema)), schema)
 
 
-def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
-    """All columns of `encoded`, with `text` from its ids."""
-    small_batches(encoded.sparkSession)
-    at = path or default_path()
+def _named(split: DataFrame, path: str) -> DataFrame:
+    """The ids and bytes of each block's words, packed: one join with the table of distinct words."""
 
-    @F.pandas_udf("string")
-    def run(ids):
-        own = codec(at)
-        return ids.map(lambda x: own.decode(x if x is not None else []))
+    @F.pandas_udf("array<int>")
+    def ids_of(words):
+        return words.map(codec(path).encode_word)
 
-    return encoded.withColumn("text", run(F.col(ids_col)))
+    listed = split.where("kind = 0").select("block", "first", F.posexplode("words").alias("pos", "word"))
+    used = listed.select("word", "block", (F.col("first") + F.col("pos")).alias("code")).repartition("word")
+    # The columns of `used` are all read here too, so that both sides of the join are one shuffle.
+    distinct = used.groupBy("word").agg(F.count("block").alias("blocks"), F.max("code").alias("last")).where("blocks > 0 AND last >= 0").select("word", ids_of("word").alias("ids"))
+    tokens = distinct.select("word", F.posexplode("ids").alias("pos", "id")).join(piece_table(split.sparkSession, path), "id")
+    whole = F.array_sort(F.collect_list(F.struct("pos", "id", "piece")))
+    encoded = tokens.groupBy("word").agg(whole.alias("t")).select("word", F.col("t.id").alias("ids"), F.array_join(F.col("t.piece").cast("array<string>"), "").cast("binary").alias("bytes"))
+    back = used.join(encoded, "word").select("block", "code", "ids", "bytes").sortWithinPartitions("block", "code")
+    return cut(back.mapInArrow(_pack, "block long, codes binary, lengths binary, ids binary, sizes binary, bytes binary"), compression="zstd")
+
+
+def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
+    """All columns of `encoded`, with `text` from its ids: each is joined to its piece, and pieces go by position."""
+    spark = encoded.sparkSession
+    table = cut(encoded.select(F.struct("*").alias("row"), F.uuid().alias("key")))
+    tokens = table.select("key", F.posexplode(F.col("row").getField(ids_col)).alias("pos", "id")).join(piece_table(spark, path or default_path()), "id")
+    whole = F.array_sort(F.collect_list(F.struct("pos", "piece")))
+    texts = tokens.groupBy("key").agg(F.array_join(F.transform(whole, lambda t: t["piece"].cast("string")), "").alias("text"))
+    joined = table.join(texts, "key", "left").withColumn("text", F.make_valid_utf8(F.coalesce("text", F.lit(""))))
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in encoded.columns if c != "text"], "text")

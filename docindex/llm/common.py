@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -17,10 +18,12 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by `spark.checkpoint.dir`; where that is unset (tests), one of our own."""
+    """The folder named by `spark.checkpoint.dir`; where that is unset, one of our own, if this machine is all there is."""
     global _own_dir
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="docindex-")
     return _own_dir
@@ -51,13 +54,19 @@ def scratch(spark: SparkSession) -> str:
     return at
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, **options: str) -> DataFrame:
     """Writes `df` as a table in the shared folder and reads it again: no lineage, no recomputation."""
     at = scratch(df.sparkSession)
-    df.write.parquet(at)
+    df.write.options(**options).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the shuffles of plans that are gone when the driver's garbage is collected; this collects it."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of texts hold at most `rows` rows, so that long documents don't add up."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

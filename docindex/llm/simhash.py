@@ -27,7 +27,6 @@ or two blocks of texts of which all pairs are compared.
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Iterator
 from functools import reduce
@@ -38,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small_batches, text_of
+from .common import cut, free_shuffles, small_batches, text_of
 from .components import components
 from .shingles import WordHashes, mix, shingles
 
@@ -274,11 +273,10 @@ def _block_links(similarity: float, rows: int = 256):
 
 
 def _released(met: DataFrame) -> DataFrame:
-    """`met` as a table; Spark deletes the shuffles behind it when the driver's garbage is collected."""
+    """`met` as a table, without the shuffles behind it."""
     done = cut(met)
     del met
-    gc.collect()
-    done.sparkSession._jvm.System.gc()
+    free_shuffles(done.sparkSession)
     return done
 
 

@@ -389,12 +389,13 @@ def test_winnow_with_next(spark, edge, none):
 # BPE
 
 
-def test_bpe_equals_library(spark, none):
+@pytest.mark.parametrize("blocks", [{}, {"block_words": 40}, {"block_distinct": 3}])
+def test_bpe_equals_library(spark, none, blocks):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(bpe.default_path())
     rows = [*EDGE, (30, "a<|endoftext|><|endoftext|>b"), (31, "  x\n\n y  z　'S 's it's IT'LL\t\t\n"), (32, "\x85\x1c\x1d ab"), (33, "٠١ ½ Ⅷ ﻿한국어 日本語 กำ"), (34, "a" * 5000), (35, " " * 5000 + "x"), (36, "a\x1c \x1fb")]
-    done = bpe.encode(docs(spark, rows), table_words=50)
+    done = bpe.encode(docs(spark, rows), **blocks)
     for r, (i, text) in zip(sorted(done.collect(), key=lambda r: (repr(r.doc_id), r.ids)), sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (repr(r[0]), tokenizer.encode(r[1], add_special_tokens=False).ids))):
         ids = tokenizer.encode(text, add_special_tokens=False).ids
         assert (r.doc_id, r.n_tokens, r.ids) == (i, len(ids), ids)
