@@ -9,9 +9,10 @@ ones) and writes the numbers of each document by position, and each block's word
 
 1. Block words are shuffled by word. There, a word is one row of the table of distinct words: it is encoded once, its
    ids are joined to the table of pieces (broadcast; its size is the vocabulary's and checked), and the row joins
-   the block words, from the same shuffle. A hot word has one row for each block, and these are streamed.
-2. (block, number, ids, bytes) goes back to its block, packed, and the numbers of the documents with it; a task reads a
-   block's words first and then streams its documents. It holds the words of one block.
+   the block words, from the same shuffle. A hot word has one row for each block, and these are streamed. This is done
+   for one of SLICES slices of the words after another, so that the shuffles of all needn't fit on the disk at once.
+2. (block, number, ids, bytes) goes back to its block, packed. The table of the documents' numbers is bucketed by block
+   when it is written, so only the packed words are shuffled. A task holds one block.
 
 Everything between is a table in the shared folder.
 
@@ -26,6 +27,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, free_shuffles, remove, scratch, small_batches, text_of
+from .common import cut, free_shuffles, scratch, small_batches, text_of
 
 #: The word pattern of byte-level BPE, as its files' pre-tokenizer has it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -46,6 +48,8 @@ ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+
 BLOCK_WORDS, BLOCK_DISTINCT = 1 << 23, 1 << 20
 #: Words of a row of a block's words; words of a row that goes back to its block.
 ROW_WORDS, PACKED_WORDS = 20_000, 100_000
+#: Slices of the words, by their hash.
+SLICES = 3
 #: A larger vocabulary isn't broadcast.
 BROADCAST_PIECES = 1_000_000
 
@@ -142,7 +146,7 @@ def _split(path: str, schema: pa.Schema, block_words: int, block_distinct: int):
                 yield rows(block=[block], first=[at], words=[every[at : at + ROW_WORDS]], kind=[0])
 
         for batch in batches:
-            docs, blocks, start = [], [], 0
+            docs, blocks = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 split = own.split(text)
                 docs.append(_planes(np.fromiter(map(numbers.__getitem__, split), np.uint32, len(split))))
@@ -151,7 +155,8 @@ def _split(path: str, schema: pa.Schema, block_words: int, block_distinct: int):
                 if words >= block_words or len(numbers) >= block_distinct:
                     yield from block_rows()
                     numbers, words, block = Numbers(), 0, uuid.uuid4().int >> 65
-            yield rows(block=blocks, doc_id=batch.column("doc_id"), codes=docs, kind=[1] * len(docs))
+            if docs:
+                yield rows(block=blocks, doc_id=batch.column("doc_id"), codes=docs, kind=[1] * len(docs))
         yield from block_rows()
 
     return run
@@ -209,45 +214,36 @@ class Block:
 
 
 def _assemble(with_ids: bool, schema: pa.Schema, group_words: int = 1 << 20):
-    """Rows of a partition by block, the words of each before its documents."""
+    """The results of a block's documents, from their numbers and the block's words."""
 
-    def results(block: Block, ids: list, codes: list[np.ndarray]) -> pa.RecordBatch:
-        n_words, flat = np.array([len(c) for c in codes]), np.concatenate(codes).astype(np.int64)
-        word_ends = np.r_[0, np.cumsum(n_words)]
+    def results(block: Block, ids: pa.Array, codes: list[np.ndarray]) -> pa.RecordBatch:
+        word_ends = np.cumsum([0, *map(len, codes)])
+        flat = np.concatenate(codes).astype(np.int64)
         tokens, lengths = _ragged(block.ids, block.at_id, flat)
         raw, sizes = _ragged(block.bytes, block.at_byte, flat)
         ends = np.r_[0, np.cumsum(lengths)][word_ends]
         byte_ends = np.r_[0, np.cumsum(sizes)][word_ends]
-        tokens = np.ascontiguousarray(tokens, "<u4")
+        tokens, raw = np.ascontiguousarray(tokens, "<u4"), raw.tobytes()
         sums = [hashlib.sha256(tokens[a:b]).hexdigest() for a, b in zip(ends, ends[1:])]
-        raw = raw.tobytes()
         back = [hashlib.sha256(raw[a:b].decode("utf-8", "replace").encode()).hexdigest() for a, b in zip(byte_ends, byte_ends[1:])]
-        columns = [pa.array(ids, schema.field("doc_id").type), pa.array(np.diff(ends)), pa.array(sums), pa.array(back)]
+        columns = [ids.cast(schema.field("doc_id").type), pa.array(np.diff(ends)), pa.array(sums), pa.array(back)]
         if with_ids:
             columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens.view("<i4"))))
         return pa.RecordBatch.from_arrays(columns, schema.names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, block, words = None, Block(), False
-        for batch in batches:
-            ids, codes, n = [], [], 0
-            for b, kind, doc_id, code, *rest in zip(*(batch.column(c).to_pylist() for c in ("block", "kind", "doc_id", "codes", "lengths", "ids", "sizes", "bytes"))):
-                if (b != at or n >= group_words) and codes:
-                    yield results(block, ids, codes)
-                    ids, codes, n = [], [], 0
-                if b != at:
-                    at, block, words = b, Block(), True
-                if not kind:
-                    block.add(code, *rest)
-                    continue
-                if words:
-                    block.close()
-                    words = False
-                ids.append(doc_id)
-                codes.append(_of_planes(code))
-                n += len(codes[-1])
-            if codes:
-                yield results(block, ids, codes)
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        block = Block()
+        for row in zip(*(words.column(c).to_pylist() for c in ("codes", "lengths", "ids", "sizes", "bytes"))):
+            block.add(*row)
+        block.close()
+        ids, out, first, codes, n = docs.column("doc_id").combine_chunks(), [], 0, [], 0
+        for i, code in enumerate(docs.column("codes"), 1):
+            codes.append(_of_planes(code.as_py()))
+            n += len(codes[-1])
+            if n >= group_words or i == len(docs):
+                out.append(results(block, ids.slice(first, i - first), codes))
+                first, codes, n = i, [], 0
+        return pa.Table.from_batches(out, out[0].schema) if out else schema.empty_table()
 
     return run
 
@@ -266,18 +262,21 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True, id_c
     id_field = T.StructField("doc_id", docs.schema[id_col].dataType)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     split = T.StructType([T.StructField("block", T.LongType()), id_field]).add("codes", "binary").add("first", "integer").add("words", T.ArrayType(T.StringType())).add("kind", "integer")
-    at = scratch(spark)
-    rows.mapInArrow(_split(path, _arrow(split), block_words, block_distinct), split).write.partitionBy("kind").option("compression", "zstd").parquet(at)
-    named = _named(spark.read.schema(split).parquet(at), path)
-    remove(spark, f"{at}/kind=0")
-    free_shuffles(spark)
-    numbers = spark.read.schema(split).parquet(at).where("kind = 1").select("block", "kind", "doc_id", "codes")
-    both = named.withColumn("kind", F.lit(0)).unionByName(numbers, allowMissingColumns=True)
-    placed = both.repartition("block").sortWithinPartitions("block", "kind")
+    numbered = _bucketed(rows.mapInArrow(_split(path, _arrow(split), block_words, block_distinct), split), "block")
+    named = _named(numbered.where("kind = 0"), path)
     schema = T.StructType([id_field]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
-    return placed.mapInArrow(_assemble(with_ids, _arrow(schema)), schema)
+    texts = numbered.where("kind = 1").select("block", "doc_id", "codes")
+    return texts.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(_assemble(with_ids, _arrow(schema)), schema)
+
+
+def _bucketed(df: DataFrame, by: str) -> DataFrame:
+    """`df` as a table in the shared folder, in as many buckets as a shuffle has partitions."""
+    spark, at = df.sparkSession, scratch(df.sparkSession)
+    name = "bpe_" + uuid.uuid4().hex
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", at).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
 
 
 def _named(split: DataFrame, path: str) -> DataFrame:
@@ -287,15 +286,22 @@ def _named(split: DataFrame, path: str) -> DataFrame:
     def ids_of(words):
         return words.map(codec(path).encode_word)
 
-    listed = split.where("kind = 0").select("block", "first", F.posexplode("words").alias("pos", "word"))
-    used = listed.select("word", "block", (F.col("first") + F.col("pos")).alias("code")).repartition("word")
-    # The columns of `used` are all read here too, so that both sides of the join are one shuffle.
-    distinct = used.groupBy("word").agg(F.count("block").alias("blocks"), F.max("code").alias("last")).where("blocks > 0 AND last >= 0").select("word", ids_of("word").alias("ids"))
-    tokens = distinct.select("word", F.posexplode("ids").alias("pos", "id")).join(piece_table(split.sparkSession, path), "id")
-    whole = F.array_sort(F.collect_list(F.struct("pos", "id", "piece")))
-    encoded = tokens.groupBy("word").agg(whole.alias("t")).select("word", F.col("t.id").alias("ids"), F.array_join(F.col("t.piece").cast("array<string>"), "").cast("binary").alias("bytes"))
-    back = used.join(encoded, "word").select("block", "code", "ids", "bytes").sortWithinPartitions("block", "code")
-    return cut(back.mapInArrow(_pack, "block long, codes binary, lengths binary, ids binary, sizes binary, bytes binary"), compression="zstd")
+    ids_of = ids_of.asNondeterministic()  # else it is also a filter, below the aggregate and for each of its rows
+    listed = split.select("block", "first", F.posexplode("words").alias("pos", "word"))
+    listed = listed.select("word", "block", (F.col("first") + F.col("pos")).alias("code"))
+    pieces, out = piece_table(split.sparkSession, path), []
+    for k in range(SLICES):
+        used = listed.where(F.pmod(F.xxhash64("word"), F.lit(SLICES)) == k).repartition("word")
+        # The columns of `used` are all read here too, so that both sides of the join are one shuffle.
+        distinct = used.groupBy("word").agg(F.count("block").alias("blocks"), F.max("code").alias("last")).where("blocks > 0 AND last >= 0").select("word", ids_of("word").alias("ids"))
+        tokens = distinct.select("word", F.posexplode("ids").alias("pos", "id")).join(pieces, "id")
+        whole = F.array_sort(F.collect_list(F.struct("pos", "id", "piece")))
+        encoded = tokens.groupBy("word").agg(whole.alias("t")).select("word", F.col("t.id").alias("ids"), F.array_join(F.col("t.piece").cast("array<string>"), "").cast("binary").alias("bytes"))
+        back = used.join(encoded, "word").select("block", "code", "ids", "bytes").sortWithinPartitions("block", "code")
+        out.append(cut(back.mapInArrow(_pack, "block long, codes binary, lengths binary, ids binary, sizes binary, bytes binary"), compression="zstd"))
+        del used, distinct, tokens, encoded, back
+        free_shuffles(split.sparkSession)
+    return reduce(DataFrame.unionAll, out)
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
