@@ -32,11 +32,12 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, free_shuffles, scratch, small_batches, text_of
+from .common import cut, scratch, small_batches, text_of
 
 #: The word pattern of byte-level BPE, as its files' pre-tokenizer has it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -45,11 +46,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 
 #: A block ends with the document that reaches one of these.
-BLOCK_WORDS, BLOCK_DISTINCT = 1 << 23, 1 << 20
+BLOCK_WORDS, BLOCK_DISTINCT = 1 << 23, 1 << 19
 #: Words of a row of a block's words; words of a row that goes back to its block.
 ROW_WORDS, PACKED_WORDS = 20_000, 100_000
 #: Slices of the words, by their hash.
-SLICES = 3
+SLICES = 4
 #: A larger vocabulary isn't broadcast.
 BROADCAST_PIECES = 1_000_000
 
@@ -67,38 +68,44 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Splitter:
+    """Splits texts into words; `special` are the contents of tokens that are matched before."""
+
+    def __init__(self, special: list[str]):
+        self.special = special
+        self.specials = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True))))
+        self.words, self.ascii_words = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN, re.ASCII).findall
+
+    def split(self, text: str) -> list[str]:
+        find = self.ascii_words if text.isascii() else self.words
+        if not any(s in text for s in self.special):
+            return find(text)
+        out, at = [], 0
+        for m in self.specials.finditer(text):
+            out += [*find(text[at : m.start()]), m[0]]
+            at = m.end()
+        return out + find(text[at:])
+
+
 class Codec:
-    """Splits texts and encodes words; `path` is a byte-level BPE file of the tokenizers library."""
+    """Encodes words; `path` is a byte-level BPE file of the tokenizers library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer = Tokenizer.from_file(path)
         if tokenizer.normalizer is not None or '"use_regex":true' not in tokenizer.to_str().partition('"pre_tokenizer"')[2].partition("}")[0]:
             raise ValueError("not a byte-level tokenizer with the usual words")
         self.model = tokenizer.model
         self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-        self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
-        self.words, self.ascii_words = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN, re.ASCII).findall
         self.alphabet = _byte_alphabet()
         self.stand_in = [c for _, c in sorted((b, c) for c, b in self.alphabet.items())]
-        self.vocabulary = tokenizer.get_vocab(with_added_tokens=False)
 
     def pieces(self) -> dict[int, bytes]:
         """The bytes of each id."""
-        found = {i: bytes(self.alphabet[c] for c in piece) for piece, i in self.vocabulary.items()}
+        found = {i: bytes(self.alphabet[c] for c in piece) for piece, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
         return found | {i: t.encode() for t, i in self.special.items()}
 
-    def split(self, text: str) -> list[str]:
-        find = self.ascii_words if text.isascii() else self.words
-        if not any(s in text for s in self.special):
-            return find(text)
-        out, at = [], 0
-        for m in self.specials.finditer(text):
-            out += [*find(text[at : m.start()]), m[0]]
-            at = m.end()
-        return out + find(text[at:])
-
     def encode_word(self, word: str) -> list[int]:
         if word in self.special:
             return [self.special[word]]
@@ -132,9 +139,9 @@ class Numbers(dict):
         return n
 
 
-def _split(path: str, schema: pa.Schema, block_words: int, block_distinct: int):
+def _split(special: list[str], schema: pa.Schema, block_words: int, block_distinct: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, numbers, words, block = codec(path), Numbers(), 0, uuid.uuid4().int >> 65
+        own, numbers, words, block = Splitter(special), Numbers(), 0, uuid.uuid4().int >> 65
 
         def rows(**columns) -> pa.RecordBatch:
             n = len(next(iter(columns.values())))
@@ -170,14 +177,14 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block and number, as few rows of numbers, ids and bytes."""
+    """Rows sorted by block and number, as few rows of compressed numbers, ids and bytes."""
 
     def packed(part: pa.RecordBatch) -> pa.RecordBatch:
         ids, piece = part.column("ids"), part.column("bytes")
         code = part.column("code").to_numpy()
         lengths, sizes = ids.value_lengths().to_numpy(), pa.compute.binary_length(piece).to_numpy()
         fields = [_planes(np.diff(code, prepend=0)), _planes(lengths), _planes(ids.flatten().to_numpy()), _planes(sizes), b"".join(piece.to_pylist())]
-        return pa.RecordBatch.from_arrays([part.column("block")[:1], *[pa.array([f], pa.binary()) for f in fields]], ["block", "codes", "lengths", "ids", "sizes", "bytes"])
+        return pa.RecordBatch.from_arrays([part.column("block")[:1], *[pa.array([zstandard.compress(f)], pa.binary()) for f in fields]], ["block", "codes", "lengths", "ids", "sizes", "bytes"])
 
     for batch in batches:
         block = batch.column("block").to_numpy()
@@ -201,7 +208,8 @@ class Block:
     def __init__(self):
         self.parts: list[tuple] = []
 
-    def add(self, codes: bytes, lengths: bytes, ids: bytes, sizes: bytes, raw: bytes) -> None:
+    def add(self, *fields: bytes) -> None:
+        codes, lengths, ids, sizes, raw = map(zstandard.decompress, fields)
         self.parts.append((np.cumsum(_of_planes(codes)), _of_planes(lengths), _of_planes(ids), _of_planes(sizes), np.frombuffer(raw, np.uint8)))
 
     def close(self) -> None:
@@ -213,7 +221,7 @@ class Block:
         self.at_id, self.at_byte, self.parts = starts(n), starts(m), []
 
 
-def _assemble(with_ids: bool, schema: pa.Schema, group_words: int = 1 << 20):
+def _assemble(with_ids: bool, schema: pa.Schema, group_words: int = 1 << 18):
     """The results of a block's documents, from their numbers and the block's words."""
 
     def results(block: Block, ids: pa.Array, codes: list[np.ndarray]) -> pa.RecordBatch:
@@ -262,7 +270,7 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True, id_c
     id_field = T.StructField("doc_id", docs.schema[id_col].dataType)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     split = T.StructType([T.StructField("block", T.LongType()), id_field]).add("codes", "binary").add("first", "integer").add("words", T.ArrayType(T.StringType())).add("kind", "integer")
-    numbered = _bucketed(rows.mapInArrow(_split(path, _arrow(split), block_words, block_distinct), split), "block")
+    numbered = _bucketed(rows.mapInArrow(_split(list(codec(path).special), _arrow(split), block_words, block_distinct), split), "block")
     named = _named(numbered.where("kind = 0"), path)
     schema = T.StructType([id_field]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
@@ -272,19 +280,19 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True, id_c
 
 
 def _bucketed(df: DataFrame, by: str) -> DataFrame:
-    """`df` as a table in the shared folder, in as many buckets as a shuffle has partitions."""
+    """`df` as a table in the shared folder, in four times as many buckets as a shuffle has partitions: few meet in one."""
     spark, at = df.sparkSession, scratch(df.sparkSession)
     name = "bpe_" + uuid.uuid4().hex
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", at).option("compression", "zstd").saveAsTable(name)
+    df.write.bucketBy(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", at).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
 
 def _named(split: DataFrame, path: str) -> DataFrame:
     """The ids and bytes of each block's words, packed: one join with the table of distinct words."""
 
-    @F.pandas_udf("array<int>")
-    def ids_of(words):
-        return words.map(codec(path).encode_word)
+    @F.arrow_udf("array<int>")
+    def ids_of(words: pa.Array) -> pa.Array:
+        return pa.array(map(codec(path).encode_word, words.to_pylist()), pa.list_(pa.int32()))
 
     ids_of = ids_of.asNondeterministic()  # else it is also a filter, below the aggregate and for each of its rows
     listed = split.select("block", "first", F.posexplode("words").alias("pos", "word"))
@@ -298,9 +306,7 @@ def _named(split: DataFrame, path: str) -> DataFrame:
         whole = F.array_sort(F.collect_list(F.struct("pos", "id", "piece")))
         encoded = tokens.groupBy("word").agg(whole.alias("t")).select("word", F.col("t.id").alias("ids"), F.array_join(F.col("t.piece").cast("array<string>"), "").cast("binary").alias("bytes"))
         back = used.join(encoded, "word").select("block", "code", "ids", "bytes").sortWithinPartitions("block", "code")
-        out.append(cut(back.mapInArrow(_pack, "block long, codes binary, lengths binary, ids binary, sizes binary, bytes binary"), compression="zstd"))
-        del used, distinct, tokens, encoded, back
-        free_shuffles(split.sparkSession)
+        out.append(cut(back.mapInArrow(_pack, "block long, codes binary, lengths binary, ids binary, sizes binary, bytes binary")))
     return reduce(DataFrame.unionAll, out)
 
 

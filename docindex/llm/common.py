@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -54,17 +53,20 @@ def scratch(spark: SparkSession) -> str:
     return at
 
 
-def cut(df: DataFrame, **options: str) -> DataFrame:
-    """Writes `df` as a table in the shared folder and reads it again: no lineage, no recomputation."""
-    at = scratch(df.sparkSession)
-    df.write.options(**options).parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+#: Spark then deletes the shuffles of an execution when it ends.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Spark deletes the shuffles of plans that are gone when the driver's garbage is collected; this collects it."""
-    gc.collect()
-    spark._jvm.System.gc()
+def cut(df: DataFrame, **options: str) -> DataFrame:
+    """Writes `df` as a table in the shared folder and reads it again: no lineage, no recomputation, no shuffle left."""
+    spark, at = df.sparkSession, scratch(df.sparkSession)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.options(**options).parquet(at)
+    finally:
+        spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

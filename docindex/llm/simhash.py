@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, free_shuffles, small_batches, text_of
+from .common import cut, small_batches, text_of
 from .components import components
 from .shingles import WordHashes, mix, shingles
 
@@ -272,14 +272,6 @@ def _block_links(similarity: float, rows: int = 256):
     return run
 
 
-def _released(met: DataFrame) -> DataFrame:
-    """`met` as a table, without the shuffles behind it."""
-    done = cut(met)
-    del met
-    free_shuffles(done.sparkSession)
-    return done
-
-
 def _all_pairs(left: DataFrame, count: int, similarity: float) -> list[DataFrame]:
     """(a, b, sure) of all pairs of `left`: block k meets block k + o, for a group of offsets o at once."""
     blocks = max(1, -(-count // BLOCK))
@@ -289,7 +281,7 @@ def _all_pairs(left: DataFrame, count: int, similarity: float) -> list[DataFrame
         rows = left.select("tid", "n", "print", k.alias("k"), offsets.alias("o"))
         mate = rows.where("o > 0").withColumn("k", F.pmod(F.col("k") - F.col("o"), F.lit(blocks)))
         both = rows.withColumn("right", F.lit(False)).unionAll(mate.withColumn("right", F.lit(True)))
-        out.append(_released(both.groupBy("o", "k").applyInArrow(_block_links(similarity), "a binary, b binary, sure boolean")))
+        out.append(cut(both.groupBy("o", "k").applyInArrow(_block_links(similarity), "a binary, b binary, sure boolean")))
     return out
 
 
@@ -335,7 +327,7 @@ def _met(distinct: DataFrame, tables: int, first: int, similarity: float, base:
     rows = distinct.mapInArrow(_tables(tables, first), "t int, key long, tid binary, n int, print binary")
     lead = F.shiftright("key", max(64 - base - SPREAD, 0))
     rows = rows.repartitionByRange("t", lead).sortWithinPartitions("t", "key", "print", "tid")
-    return _released(rows.mapInArrow(_links(similarity, base, cap, lost=True), "a binary, b binary, sure boolean, lost double"))
+    return cut(rows.mapInArrow(_links(similarity, base, cap, lost=True), "a binary, b binary, sure boolean, lost double"))
 
 
 def _base(count: int, cap: int) -> int:
