@@ -41,8 +41,10 @@ def set_merge(adds: DataFrame, removes: DataFrame, keys: Sequence[str], seq: str
 
 
 def set_difference(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of `new` alone as `add`, of `old` alone as `remove`."""
-    return new.exceptAll(old).distinct().withColumn("op", F.lit("add")).unionByName(old.exceptAll(new).distinct().withColumn("op", F.lit("remove")))
+    """Rows of `new` alone as `add`, of `old` alone as `remove`: one aggregate over both."""
+    sides = new.withColumn("_side", F.lit(1)).unionByName(old.withColumn("_side", F.lit(2)))
+    found = sides.groupBy(*new.columns).agg(F.bit_or("_side").alias("_side")).where("_side < 3")
+    return found.select(*new.columns, F.when(F.col("_side") == 1, "add").otherwise("remove").alias("op"))
 
 
 def op_rows(changed: DataFrame, key: str, paths: Column, values: Column) -> DataFrame:

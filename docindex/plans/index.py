@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime
 import json
 from abc import ABC, abstractmethod
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -132,9 +132,13 @@ class Index(ABC):
     def identity(self) -> tuple[str, ...]:
         return IDENTITY[:3] if self.one else IDENTITY
 
+    def complete(self, rows: DataFrame) -> Column:
+        """Whether a row has all distinguished keys; others are in no index."""
+        return _and([rows[f].isNotNull() for f in self.distinguished])
+
     def build(self, rows: DataFrame, order: Sequence[str] = ()) -> DataFrame:
         """The entries of a whole table. Where keys have one value, the last of `order` wins."""
-        flat = self.leaves(rows, order)
+        flat = self.leaves(rows.where(self.complete(rows)), order, strict=False)
         if not self.one:
             return flat.drop(*order).dropDuplicates(list(IDENTITY))
         kept = [c for c in flat.columns if c not in self.identity and c not in order]
@@ -158,6 +162,9 @@ class Index(ABC):
     def changed_partitions(self, delta: DataFrame) -> DataFrame:
         return delta.select("partition_id").distinct()
 
+    def pattern_route(self, patterns: DataFrame, columns: Mapping[str, Column]) -> Column:
+        return self.route(columns)
+
     def match_many(self, entries: DataFrame, patterns: DataFrame) -> DataFrame:
         """The entries of each row of `patterns`, which has all key fields; its other columns come along.
 
@@ -167,7 +174,7 @@ class Index(ABC):
         extra = [c for c in patterns.columns if c not in self.fields]
         keyed = patterns.select(
             *extra,
-            self.route(col).alias("partition_id"),
+            self.pattern_route(patterns, col).alias("partition_id"),
             F.coalesce(gen_key([col[f] for f in self.agg_fields()], self.case_sensitive), F.lit("")).alias("agg_key"),
             gen_key([col[f] for f in self.index_by], self.case_sensitive).alias("index_key"),
         )
@@ -177,10 +184,53 @@ class Index(ABC):
         """The next `size` entries by (agg_key, index_key, value) after the last of the page before."""
         order = ("agg_key", "index_key", "value")
         if after is not None:
-            here, last = F.struct(*order), F.struct(*[F.lit(after[o]).alias(o) for o in order])
-            entries = entries.where(here < last if descending else here > last)
+            # Plain comparisons of columns, so that files are skipped by their statistics.
+            past = [F.col(o) < after[o] if descending else F.col(o) > after[o] for o in order]
+            same = [F.col(o) == after[o] for o in order]
+            entries = entries.where((same[0] | past[0]) & (past[0] | same[0] & (past[1] | same[1] & past[2])))
         return entries.orderBy(*[F.desc(o) if descending else F.asc(o) for o in order]).limit(size)
 
+    def cursor(self, entries: DataFrame, size: int = 1000, after: Mapping[str, str] | None = None, descending: bool = False) -> Cursor:
+        return Cursor(self, entries, size, after, descending)
+
+    def fold(self, entries: DataFrame, **aggregates: Column) -> DataFrame:
+        """One row of aggregates over all entries."""
+        return entries.agg(*[c.alias(n) for n, c in aggregates.items()])
+
+    def foreach(self, entries: DataFrame, fun: Callable[[Iterator], None]) -> None:
+        """Runs `fun` on the rows of each partition, on the executors."""
+        entries.foreachPartition(fun)
+
+
+class Cursor:
+    """Moves over an index in the order of its keys, a page at a time."""
+
+    def __init__(self, index: Index, entries: DataFrame, size: int, after: Mapping[str, str] | None, descending: bool):
+        self._index, self._entries, self._size, self._after, self._descending = index, entries, size, after, descending
+        self._page, self._at = [], -1
+        self.move()
+
+    def move(self) -> bool:
+        """To the next entry; False at the end."""
+        self._at += 1
+        if self._at >= len(self._page):
+            self._page, self._at = self._index.page(self._entries, self._size, self._after, self._descending).collect(), 0
+            if self._page:
+                self._after = {k: self._page[-1][k] for k in ("agg_key", "index_key", "value")}
+        return not self.done
+
+    @property
+    def done(self) -> bool:
+        return self._at >= len(self._page)
+
+    @property
+    def key(self) -> tuple[str, str]:
+        return self._page[self._at]["agg_key"], self._page[self._at]["index_key"]
+
+    @property
+    def values(self) -> dict[str, str]:
+        return {f: self._page[self._at][f] for f in self._index.covered_fields}
+
 
 @dataclass(frozen=True)
 class HashIndex(Index):
@@ -322,13 +372,17 @@ class RingIndex(SimpleIndex):
     def slot(self, ts: Column) -> Column:
         return ring_day(ts, self.slots) if self.unit == "day" else ring_week(ts, self.slots, datetime.datetime.fromisoformat(self.now))
 
-    def build(self, rows: DataFrame, order: Sequence[str] = ()) -> DataFrame:
-        slot = self.slot(F.col(self.timestamp_field))
-        return super().build(rows.withColumn("_slot", identifier(self.identifier_prefix, slot)).where(F.col("_slot").isNotNull()), ("_slot",))
+    @property
+    def distinguished(self) -> tuple[str, ...]:
+        return (*self.fields, self.timestamp_field)
 
     def leaves(self, rows: DataFrame, carry: Sequence[str] = (), strict: bool | Column = True) -> DataFrame:
-        flat = super().leaves(rows, tuple(dict.fromkeys((*carry, "_slot"))), strict)
-        return flat.withColumn("partition_id", F.col("_slot"))
+        slot = identifier(self.identifier_prefix, self.slot(F.col(self.timestamp_field)))
+        flat = super().leaves(rows.withColumn("_slot", slot).where(F.col("_slot").isNotNull()), (*carry, "_slot"), strict)
+        return flat.withColumn("partition_id", F.col("_slot")).drop("_slot")
+
+    def pattern_route(self, patterns: DataFrame, columns: Mapping[str, Column]) -> Column:
+        return identifier(self.identifier_prefix, patterns["slot"])
 
     def route_values(self, pattern: Mapping[str, str]) -> str:
         if pattern.get("slot") is None:
@@ -336,6 +390,7 @@ class RingIndex(SimpleIndex):
         return f"{self.identifier_prefix}_{pattern['slot']}"
 
     def match(self, entries: DataFrame, pattern: Mapping[str, str]) -> DataFrame:
+        super().route_values(pattern)
         index_key = gen_key_value([pattern[f] for f in self.index_by], self.case_sensitive)
         found = entries.where((F.col("index_key") == index_key) & (F.col("partition_id") == self.route_values(pattern)))
         return found.orderBy("value").select(*self.covered_fields)
