@@ -13,12 +13,12 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docindex.functions.keys import collection_bucket
+from docindex.functions.keys import collection_bucket, string_hash, string_hash_value
 from docindex.plans.index import HashIndex, Index, from_json
-from docindex.sources.store import NotFound, Store
+from docindex.sources.store import SLICE, NotFound, Store
 
 CATALOG = "collection string, index_name string, index_type string, config string"
 
@@ -176,35 +176,56 @@ class Manager:
         return index.bucket_type, f"{index.bucket}/{index.name}"
 
     def entries(self, index: Index) -> DataFrame:
-        return self.store.read(*self._data(index))
+        return self.store.read(*self._data(index)).drop(SLICE)
+
+    def _part(self, index: Index) -> tuple[str, Column | None]:
+        """The column that an index is stored by. A simple index has a partition for each key: it is stored by their hash."""
+        if isinstance(index, HashIndex):
+            return "partition_id", None
+        return SLICE, F.pmod(string_hash(F.col("partition_id")), F.lit(self.store.slices)).cast("int")
 
     def _laid_out(self, index: Index, entries: DataFrame) -> DataFrame:
         """Sorted for skipping, and in as many tasks as the shuffle has, however few partitions the index has."""
-        order = ("agg_key", "index_key", "value")
-        if not isinstance(index, HashIndex):
-            return entries.repartitionByRange("partition_id", "value").sortWithinPartitions("partition_id", "value")
-        files = max(1, int(self.store.spark.conf.get("spark.sql.shuffle.partitions")) // index.partitions)
-        spread = entries.repartition("partition_id", F.pmod(F.xxhash64(*order), F.lit(files)))
-        return spread.sortWithinPartitions("partition_id", *order)
+        order = ("partition_id", "agg_key", "index_key", "value")
+        by, part = self._part(index)
+        entries = entries if part is None else entries.withColumn(by, part)
+        folders = index.partitions if isinstance(index, HashIndex) else self.store.slices
+        files = max(1, int(self.store.spark.conf.get("spark.sql.shuffle.partitions")) // folders)
+        return entries.repartition(by, F.pmod(F.xxhash64(*order), F.lit(files))).sortWithinPartitions(by, *order)
 
     def _write(self, index: Index, entries: DataFrame) -> None:
-        # A simple index has as many partitions as keys: sorted files, not folders.
-        by = "partition_id" if isinstance(index, HashIndex) else None
-        self.store.overwrite(self._laid_out(index, entries), *self._data(index), partition_by=by)
+        self.store.overwrite(self._laid_out(index, entries), *self._data(index), partition_by=self._part(index)[0])
 
     def _apply(self, index: Index, delta: DataFrame) -> None:
-        """Reads and rewrites the partitions that a delta touches; of a simple index, all."""
-        if not isinstance(index, HashIndex):
-            self._write(index, index.apply(self.entries(index), delta))
-            delta.unpersist()
-            return
-        touched = [str(r["partition_id"]) for r in index.changed_partitions(delta).collect()]  # at most as many as the index has
+        """Reads and rewrites the partitions (of a simple index, the slices) that a delta touches."""
+        by, part = self._part(index)
+        touched = (delta if part is None else delta.withColumn(by, part)).select(by).distinct().collect()  # as many as folders, at most
+        touched = [str(r[0]) for r in touched]
         new = index.apply(self.store.read(*self._data(index), partitions=touched), delta)
-        self.store.replace_partitions(self._laid_out(index, new), *self._data(index), "partition_id", touched)
+        self.store.replace_partitions(self._laid_out(index, new), *self._data(index), by, touched)
         delta.unpersist()
 
+    def partition(self, index: Index, identifier: str) -> DataFrame:
+        """The entries of one partition by its identifier; NotFound for one that the index can't have."""
+        prefix = f"{index.identifier_prefix}_"
+        known = index.partition_identifiers()
+        if not identifier.startswith(prefix) or known and identifier not in known:
+            raise NotFound(f"partition_not_found: {identifier}")
+        if isinstance(index, HashIndex):
+            found = self.store.lookup_partition(*self._data(index), identifier.removeprefix(prefix))
+            return self.entries(index).where("false") if found is None else found
+        at = str(string_hash_value(identifier) % self.store.slices)
+        return self.store.read(*self._data(index), partitions=[at]).drop(SLICE).where(F.col("partition_id") == identifier)
+
+    def drop_partition(self, index: HashIndex, identifier: str) -> None:
+        self.store.delete_partition(*self._data(index), identifier.removeprefix(f"{index.identifier_prefix}_"))
+
     def match(self, index: Index, pattern: dict[str, str]) -> DataFrame:
-        return index.match(self.entries(index), pattern)
+        """Reads the one partition that the pattern routes to."""
+        routed = index.route_values(pattern)
+        if isinstance(index, HashIndex):
+            return index.match(self.store.read(*self._data(index), partitions=[str(routed)]), pattern)
+        return index.match(self.partition(index, routed), pattern)
 
     def create_index(self, index: Index, collection: Collection, base: DataFrame) -> Collection:
         self._alive(collection)
@@ -216,10 +237,13 @@ class Manager:
             self._add(f"save {collection.id}", lambda: self.save(new))
         return new
 
-    def rebuild_index(self, name: str, collection: Collection, base: DataFrame) -> None:
+    def rebuild_index(self, name: str, collection: Collection, base: DataFrame) -> dict[str, int]:
+        """Builds the index anew; how many rows of `base` it took and how many lack one of its keys, in one pass."""
         index = collection.index(name)
+        counts = base.agg(F.count_if(index.complete(base)).alias("succeeded"), F.count_if(~index.complete(base)).alias("failed")).first()
         with self.workflow():
             self._add(f"write {name}", lambda: self._write(index, index.build(base)))
+        return counts.asDict()
 
     def drop_index(self, name: str, collection: Collection) -> Collection:
         return self.drop_indices([name], collection)

@@ -9,12 +9,22 @@ from pyspark.sql.streaming import StreamingQuery
 from docindex.plans.catalog import Collection, Manager
 
 
-def maintain(actions: DataFrame, manager: Manager, collection: Collection, checkpoint: str, force: bool = False) -> StreamingQuery:
+def maintain(actions: DataFrame, manager: Manager, collection: Collection, checkpoint: str, force: bool = False, every: str | None = None) -> StreamingQuery:
     """Applies each micro-batch of an actions stream to all indices of a collection.
 
     Deltas are idempotent (an identity's last action decides), so a batch that is retried leaves the same entries.
+    It runs until what is there is read, or with `every` (like `10 seconds`) on and on.
     """
-    return actions.writeStream.foreachBatch(lambda batch, _: manager.update_all_indices(batch.persist(), collection, force) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def apply(batch: DataFrame, _: int) -> None:
+        held = batch.persist()
+        try:
+            manager.update_all_indices(held, collection, force)
+        finally:
+            held.unpersist()
+
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return actions.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def counters(ops: DataFrame, keys: list[str], delta: Column) -> DataFrame:
