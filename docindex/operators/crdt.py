@@ -6,6 +6,7 @@ hold the version that a change was made on. A map is a document column with `upd
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -108,6 +109,11 @@ def set_value(s: Column) -> Column:
     return _ordered(F.array_except(F.array_union(s["values"], s["adds"]), s["removes"]))
 
 
+def set_fold(s: Column, start: Column, step) -> Column:
+    """`step(acc, element)` over the elements in order."""
+    return F.aggregate(set_value(s), start, step)
+
+
 def set_size(s: Column) -> Column:
     return F.size(set_value(s))
 
@@ -218,6 +224,91 @@ def patch_fold(doc: Column, kind: T.StructType, ops: Column) -> Column:
     return F.aggregate(F.array_sort(ops), doc, lambda d, op: F.struct(*[patch_step(d, f, op) for f in kind.fields]))
 
 
+def _applied(old: Column, kind: T.DataType, op: Column) -> Column:
+    """A value after an action on it."""
+    raise_ = lambda what: _error(what, kind.simpleString())
+    if isinstance(kind, (T.StructType, T.MapType)):
+        return F.when(op["action"].isin("update", "set"), F.from_json(op["value"], kind)).when(op["action"] == "remove", F.lit(None).cast(kind)).otherwise(raise_("badaction"))
+    return patch_case(old, kind, op)
+
+
+def patch_case(old: Column, kind: T.DataType, op: Column) -> Column:
+    """A leaf after an action on it; an action that its datatype hasn't is `badaction`."""
+    cases: list[tuple[tuple[str, ...], Column]] = []
+    if isinstance(kind, T.ArrayType):
+        one = F.array(op["value"].cast(kind.elementType))
+        empty = F.coalesce(old, F.array().cast(kind))
+        cases += [(("append", "add_element"), _ordered(F.array_union(empty, one))), (("del_element",), F.array_except(empty, one))]
+        # `remove` with a value takes an element, without one the set; a text of several elements is JSON.
+        cases += [(("remove",), F.when(op["value"].isNotNull(), F.array_except(empty, one))), (("update", "set"), _ordered(F.from_json(op["value"], kind)))]
+    else:
+        cases += [(("update", "set"), op["value"].cast(kind)), (("remove",), F.lit(None).cast(kind))]
+    if isinstance(kind, T.BooleanType):
+        cases += [(("enable",), F.lit(True)), (("disable",), F.lit(False))]
+    if isinstance(kind, T.LongType):
+        zero = F.coalesce(old, F.lit(0).cast("bigint"))
+        cases += [(("increment",), zero + 1), (("decrement",), zero - 1)]
+    chosen = reduce(lambda w, c: w.when(op["action"].isin(*c[0]), c[1]), cases[1:], F.when(op["action"].isin(*cases[0][0]), cases[0][1]))
+    return chosen.otherwise(_error("badaction", kind.simpleString()))
+
+
+def _patched(old: Column, kind: T.DataType, op: Column, depth: int) -> Column:
+    """`old`, whose path is the first `depth` names of the op's, after the op."""
+    name = F.get(op["names"], F.lit(depth))
+    here = F.size(op["names"]) == depth
+    if isinstance(kind, T.StructType):
+        fields = [F.when(name == f.name, _patched(old[f.name], f.dataType, op, depth + 1)).otherwise(old[f.name]).alias(f.name) for f in kind.fields]
+        inner = F.when(name.isin(*kind.names), F.struct(*fields)).otherwise(_error("missing_spec", kind.simpleString()))
+    elif isinstance(kind, T.MapType):
+        others = F.map_filter(F.coalesce(old, F.create_map().cast(kind)), lambda k, _: k != name)
+        new = _patched(old[name], kind.valueType, op, depth + 1)
+        inner = F.map_concat(others, F.when(new.isNull(), F.create_map().cast(kind)).otherwise(F.create_map(name, new)))
+    else:
+        inner = _error("badkey", kind.simpleString())
+    return F.when(here, _applied(old, kind, op)).otherwise(inner) if depth else inner
+
+
+def _set_paths(kind: T.DataType, at: str) -> list[str]:
+    """Patterns of the paths of sets."""
+    if isinstance(kind, T.StructType):
+        return [p for f in kind.fields for p in _set_paths(f.dataType, f"{at}/{re.escape(f.name)}")]
+    if isinstance(kind, T.MapType):
+        return _set_paths(kind.valueType, f"{at}/[^/]+")
+    return [at] if isinstance(kind, T.ArrayType) else []
+
+
+def patch(doc: Column, kind: T.StructType, ops: Column) -> Column:
+    """struct(doc, updated, removed): a nested document after all of `ops`, in the order of seq, and what they changed.
+
+    `ops` is an array of struct(seq, path, action, value); a path is `/a/b`, and goes through wildcard maps by key.
+    A path that the type hasn't is `missing_spec`, one below a leaf `badkey`, an unfit action `badaction`.
+    """
+    none = F.array().cast("array<string>")
+    named = F.transform(
+        F.array_sort(ops),
+        lambda o: F.struct(
+            F.when(o["path"].startswith("/"), F.filter(F.split(F.rtrim(F.substring(o["path"], 2, 1 << 30), F.lit("/")), "/"), lambda x: F.length(x) > -1)).otherwise(_error("badpath", "array<string>")).alias("names"),
+            o["action"].alias("action"),
+            o["value"].alias("value"),
+        ),
+    )
+
+    sets = "|".join(_set_paths(kind, "")) or "(?!)"
+
+    def step(a: Column, o: Column) -> Column:
+        text = F.concat(F.lit("/"), F.array_join(o["names"], "/"))
+        path = F.array(text)
+        gone = (o["action"] == "remove") & ~(o["value"].isNotNull() & text.rlike(f"^({sets})$"))
+        return F.struct(
+            _patched(a["doc"], kind, o, 0).alias("doc"),
+            F.when(gone, F.array_except(a["updated"], path)).otherwise(F.array_union(a["updated"], path)).alias("updated"),
+            F.when(gone, F.array_union(a["removed"], path)).otherwise(F.array_except(a["removed"], path)).alias("removed"),
+        )
+
+    start = F.struct(doc.cast(kind).alias("doc"), none.alias("updated"), none.alias("removed"))
+    return F.aggregate(named, start, step, lambda a: F.struct(a["doc"].alias("doc"), F.array_sort(a["updated"]).alias("updated"), F.array_sort(a["removed"]).alias("removed")))
+
+
 def changed_paths(old: Column, new: Column, kind: T.StructType, prefix: str = "") -> tuple[list[Column], list[Column]]:
     """(updated, removed): for each leaf of `kind` its path where it changed, null elsewhere."""
     updated, removed = [], []

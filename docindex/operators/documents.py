@@ -122,6 +122,19 @@ class Document:
         gone = F.when(known, F.lit(None).cast(kind)).otherwise(F.raise_error(F.lit("context_required")).cast(kind))
         return replace(self, fields=self._with(path, gone), updated=F.array_remove(self.updated, name), removed=F.array_union(self.removed, F.array(name)))
 
+    def update(self, values: dict, path: tuple[str, ...] = ()) -> Document:
+        """Bulk edits by a nested dict: None removes, a dict goes deeper, sets are replaced, other values upserted."""
+        done = self
+        for name, value in values.items():
+            at = (*path, name)
+            if isinstance(value, dict):
+                done = done.update(value, at)
+            elif value is not None and isinstance(_type_at(self.kind, list(at)), T.ArrayType):
+                done = done.set_elements(list(at), value)
+            else:
+                done = done.set(list(at), value)
+        return done
+
     def _empty_or(self, path: Path) -> Column:
         kind = _type_at(self.kind, parts(path))
         return F.coalesce(self.at(path), F.array().cast(kind))

@@ -166,6 +166,60 @@ def check_fields(df: DataFrame, spec: Spec, missing_spec: str = "error") -> Data
     return df.select(*[c for c in df.columns if c not in extra])
 
 
+def _checked(c: Column, kind: T.DataType, entry: tuple, missing_spec: str, at: str) -> Column:
+    wanted = data_type(entry)
+    if entry[0] != "map":
+        if kind != wanted:
+            raise TypeError(f"datatype_mismatch: {at}: {wanted.simpleString()}, not {kind.simpleString()}")
+        return F.array_sort(F.array_distinct(c)) if entry[0] == "set" else c
+    inner = entry[1]
+    if ANY in inner:
+        if not isinstance(kind, T.MapType):
+            raise TypeError(f"datatype_mismatch: {at}: a map of any keys, not {kind.simpleString()}")
+        return F.transform_values(c, lambda _, v: _checked(v, kind.valueType, inner[ANY], missing_spec, f"{at}/{ANY}"))
+    if not isinstance(kind, T.StructType):
+        raise TypeError(f"datatype_mismatch: {at}: {wanted.simpleString()}, not {kind.simpleString()}")
+    if missing_spec != "ignore" and (extra := [n for n in kind.names if n not in inner]):
+        raise KeyError(f"missing_spec: {[f'{at}/{n}' for n in extra]}")
+    fields = [(_checked(c[k], kind[k].dataType, e, missing_spec, f"{at}/{k}") if k in kind.names else F.lit(None).cast(data_type(e))).alias(k) for k, e in inner.items()]
+    return F.when(c.isNotNull(), F.struct(*fields))
+
+
+def _leaf_paths(c: Column, entry: tuple, at: Column) -> list[Column]:
+    """Arrays of the paths of the present leaves."""
+    if entry[0] != "map":
+        return [F.when(c.isNotNull(), F.array(at))]
+    if ANY in entry[1]:
+        below = lambda k: _leaf_paths(c[k], entry[1][ANY], F.concat(at, F.lit("/"), k))
+        return [F.flatten(F.transform(F.map_keys(c), lambda k: F.flatten(F.array_compact(F.array(*below(k))))))]
+    return [p for k, e in entry[1].items() for p in _leaf_paths(c[k], e, F.concat(at, F.lit(f"/{k}")))]
+
+
+def new_map(c: Column, kind: T.DataType, spec: Spec, ctx: Column | None = None, missing_spec: str = "error") -> Column:
+    """struct(doc, updated, removed, ctx): a document of a specification, all of whose present leaves count as updated.
+
+    Fields that the specification hasn't raise `missing_spec` at any depth, unless they are to be ignored; values of
+    another type are a `datatype_mismatch`.
+    """
+    doc = _checked(c, kind, ("map", validate(spec)), missing_spec, "")
+    paths = F.array_sort(F.flatten(F.array_compact(F.array(*_leaf_paths(doc, ("map", spec), F.lit(""))))))
+    return F.struct(doc.alias("doc"), paths.alias("updated"), F.array().cast("array<string>").alias("removed"), (F.lit(None).cast("bigint") if ctx is None else ctx).alias("ctx"))
+
+
+def new_inferred(value: dict) -> Column:
+    """The same of a plain dict, with an inferred specification; undefined values are dropped."""
+    entry = inferred(value)
+    return new_map(_literal(value, entry), data_type(entry), entry[1])
+
+
+def _literal(value, entry: tuple) -> Column:
+    if entry[0] == "map":
+        return F.struct(*[_literal(value[k], e).alias(k) for k, e in entry[1].items()])
+    if entry[0] == "set":
+        return F.array(*map(F.lit, value)).cast(data_type(entry))
+    return F.lit(value).cast(data_type(entry))
+
+
 def datatype_of(kind: T.DataType) -> str:
     """The datatype that a Spark type stands for."""
     if isinstance(kind, (T.StructType, T.MapType)):

@@ -150,3 +150,80 @@ WHERE user_id = (SELECT user_id FROM events WHERE event_id = 0) AND date_diff('d
     "keyset_page_desc": """
 SELECT lower(p_brand) AS index_key, p_partkey || chr(25) || lower(p_type) AS value FROM part ORDER BY index_key DESC, value DESC LIMIT 20""",
 }
+
+_PART_BUCKET = f"""
+WITH RECURSIVE nums AS (SELECT DISTINCT {_HASH.format('lower(p_brand)')} AS k FROM part), {_jump(32)},
+p AS (SELECT b::INTEGER AS partition_id, lower(p_brand) AS index_key, p_partkey || chr(25) || lower(p_type) AS value, p_partkey FROM part JOIN w32 ON {_HASH.format('lower(p_brand)')} = k WHERE j >= 32),
+one AS (SELECT DISTINCT partition_id AS id FROM p WHERE index_key = 'brand#11')
+"""
+
+_NEW_ENTRIES = "SELECT lower(o_orderstatus) AS o_orderstatus, o_custkey, o_orderkey, lower(o_orderpriority) AS o_orderpriority FROM new WHERE o_orderpriority IS NOT NULL"
+_TEXTS = "o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey, {} AS o_orderstatus, o_orderpriority"
+
+#: Queries over stored documents and stored indices.
+ORACLES |= {
+    "store_get": f"SELECT {_TEXTS.format('o_orderstatus')} FROM orders WHERE o_orderkey = 7",
+    "store_put": f"SELECT {_TEXTS.format("CASE WHEN o_orderkey % 5 = 2 THEN 'Y' ELSE o_orderstatus END")}, CASE WHEN o_orderkey % 5 = 2 THEN 2 ELSE 0 END::INTEGER AS at FROM orders",
+    "store_put_return_body": f"SELECT {_TEXTS.format("'Z'")} FROM orders WHERE o_orderkey % 50 = 0",
+    "store_delete": f"SELECT {_TEXTS.format('o_orderstatus')} FROM orders WHERE o_orderkey % 3 <> 0",
+    "execute_fun": "SELECT o_orderstatus, count(*)::BIGINT AS n FROM orders GROUP BY o_orderstatus",
+    "connection": "SELECT n_nationkey, n_name FROM nation",
+    "request_options": "SELECT DISTINCT c_mktsegment, option, value FROM customer, (VALUES ('r', 'quorum'), ('return_body', 'False'), ('timeout', '500')) t(option, value)",
+    "collection_io": """
+SELECT 'docs' AS collection, 'orders_by_status_customer' AS index_name, 'HashIndex' AS index_type, count(*)::BIGINT AS n FROM orders UNION ALL SELECT 'docs', 'things_by_customer', 'SimpleIndex', count(*)::BIGINT FROM orders""",
+    "collection_guards": "SELECT CASE WHEN n_nationkey = 0 THEN 'customers_by_segment_nation' ELSE n_name END AS name, n_nationkey = 0 AS is_index, true AS refused, true AS gone FROM nation",
+    "workflow_steps": """
+SELECT pos, step, n FROM (VALUES (0::BIGINT, 'write things_by_customer'), (1, 'save docs'), (2, 'write orders_by_status_customer'), (3, 'save docs'), (4, 'drop orders_by_status_customer')) t(pos, step), (SELECT count(*)::BIGINT AS n FROM orders)""",
+    "workflow_status": "SELECT lower(p_brand) AS p_brand, count(*)::BIGINT AS n, 'completed' AS built, 'failed' AS other FROM part GROUP BY 1",
+    "stored_hash_match": ORACLES["hash_many_match"],
+    "stored_simple_match": ORACLES["simple_match"],
+    "match_order": "SELECT (row_number() OVER (ORDER BY p_partkey || chr(25) || lower(p_type) DESC) - 1)::BIGINT AS pos, p_partkey::VARCHAR AS p_partkey, lower(p_type) AS p_type FROM part WHERE p_brand = 'Brand#23'",
+    "stored_hash_update": f"WITH {_SNAPSHOTS} {_NEW_ENTRIES}",
+    "stored_simple_update": f"WITH {_SNAPSHOTS} SELECT 'things_by_customer_partition_' || o_custkey AS partition_id, o_custkey, o_orderkey FROM new",
+    "stored_rebuild": f"""
+WITH {_SNAPSHOTS} SELECT lower(o_orderstatus) || chr(25) || o_custkey AS index_key, o_orderkey || chr(25) || lower(o_orderpriority) AS value,
+       (SELECT count(o_orderpriority) FROM new)::BIGINT AS succeeded, (SELECT count(*) - count(o_orderpriority) FROM new)::BIGINT AS failed FROM new WHERE o_orderpriority IS NOT NULL""",
+    "stored_drop": "SELECT 'orders_by_status_customer' AS index_name, false AS listed, -1::BIGINT AS n UNION ALL SELECT 'things_by_customer', true, count(*)::BIGINT FROM orders",
+    "partition_fetch": f"{_PART_BUCKET} SELECT partition_id, index_key, value FROM p, one WHERE partition_id = id",
+    "partition_drop": f"{_PART_BUCKET} SELECT partition_id, index_key, value FROM p, one WHERE partition_id <> id",
+    "partition_cache": f"{_PART_BUCKET} SELECT index_key, value, true AS held FROM p, one WHERE partition_id = id AND p_partkey % 2 = 0",
+    "partition_times": f"""
+{_PART_BUCKET}, n AS (SELECT partition_id AS b, count(*) AS n FROM p GROUP BY 1)
+SELECT i::INTEGER AS partition_id, 'parts_by_brand_partition_' || i AS identifier, coalesce(n, 0)::BIGINT AS n, CASE WHEN n > 0 THEN true END AS ordered FROM range(32) t(i) LEFT JOIN n ON b = i""",
+    "index_config": """
+SELECT lower(c_mktsegment) AS c_mktsegment, count(DISTINCT (c_nationkey, c_custkey))::BIGINT AS n, 'customers-index_data' AS bucket, 'HashIndex' AS type, 'c_mktsegment,c_nationkey,c_custkey' AS distinguished, 'many' AS cardinality FROM customer GROUP BY 1""",
+    "index_fold": "SELECT count(*)::BIGINT AS n, min(o_orderkey::VARCHAR) AS first, max(o_orderkey::VARCHAR) AS last FROM orders",
+    "index_cursor": "SELECT (row_number() OVER (ORDER BY o_orderkey::VARCHAR) - 1)::BIGINT AS pos, o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey FROM orders ORDER BY o_orderkey::VARCHAR LIMIT 60",
+    "actions_by_partition": f"""
+WITH RECURSIVE {_SNAPSHOTS}, nums AS (SELECT DISTINCT {_HASH.format('lower(s)')} AS k FROM (SELECT o_orderstatus AS s FROM orders UNION SELECT 'X')), {_jump(16)},
+a AS (SELECT o.o_orderkey, o.o_orderstatus, w.o_orderkey IS NULL AS gone, w.o_orderstatus AS now FROM old o LEFT JOIN new w ON o.o_orderkey = w.o_orderkey),
+e AS (SELECT o_orderstatus AS s, 'delete' AS kind FROM a WHERE gone OR o_orderstatus <> now UNION ALL SELECT now, 'insert' FROM a WHERE NOT gone AND o_orderstatus <> now
+      UNION ALL SELECT o_orderstatus, 'insert' FROM new w WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.o_orderkey = w.o_orderkey))
+SELECT b::INTEGER AS partition_id, kind, count(*)::BIGINT AS n FROM e JOIN w16 ON {_HASH.format('lower(s)')} = k WHERE j >= 16 GROUP BY 1, 2""",
+    "ring_update": """
+SELECT 'by_day_partition_' || (date_diff('day', DATE '1970-01-01', ts::DATE) % 16) AS partition_id, user_id::VARCHAR AS user_id, event_id::VARCHAR AS event_id, event_type FROM events WHERE event_type <> 'error'""",
+    "ring_match_many": "SELECT c_name AS asked_by, event_id::VARCHAR AS event_id, event_type FROM events JOIN customer ON c_custkey = user_id WHERE date_diff('day', DATE '1970-01-01', ts::DATE) % 16 = 3",
+    "patch_nested": """
+SELECT c_custkey, c_name AS name, 11::BIGINT AS visits, false AS active, 'b,c' AS tags, 'NEW' AS segment, NULL::BIGINT AS nation, true AS s1_on, 'y' AS s2_note,
+       '/active /at/segment /services/s1/on /services/s2/note /tags /visits' AS updated, '/at/nation' AS removed FROM customer""",
+    "typed_new": """
+SELECT c_custkey AS id, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS name, c_custkey AS ctx, '/balance /id' || CASE WHEN c_custkey % 3 <> 0 THEN ' /info/name' ELSE '' END || ' /info/segment' AS updated, 0::BIGINT AS removed FROM customer""",
+    "inferred_new": "SELECT r_regionkey, 3::BIGINT AS hits, true AS on, 'a,b' AS tags, 'x' AS name, '/at/name /hits /on /tags' AS updated FROM region",
+    "document_update": """
+SELECT c_custkey AS id, 'NEW' AS segment, NULL::VARCHAR AS name, 1.5::DOUBLE AS balance, c_custkey + 1 AS ctx, CASE WHEN c_acctbal = 1.5 THEN '' ELSE '/balance ' END || '/info/segment' AS updated, '/info/name' AS removed FROM customer""",
+    "document_sets": """
+WITH s AS (SELECT c_custkey AS n, array_to_string(list_sort(list_distinct([c_custkey % 2, c_custkey % 4])), ',') AS tags FROM customer)
+SELECT n AS c_custkey, tags, CASE WHEN tags = (n % 3) || ',' || (n % 5) THEN 'none' ELSE 'updated' END AS status FROM s""",
+    "map_value": "SELECT c_custkey AS id, c_mktsegment AS segment, 'register' AS entry FROM customer",
+    "spec_types": """
+SELECT '/by_region/' || r_name || '/n' AS path, 'counter' AS datatype, 'bigint' AS type FROM region UNION ALL SELECT '/by_region/' || r_name || '/on', 'flag', 'boolean' FROM region
+UNION ALL SELECT '/id', 'register', 'bigint' UNION ALL SELECT '/tags', 'set', 'array<string>'""",
+    "type_predicates": "SELECT r_regionkey, field, datatype, counter FROM region, (VALUES ('id', 'register', true), ('info', 'map', false), ('balance', 'register', false)) t(field, datatype, counter)",
+    "set_ops": """
+WITH s AS (SELECT c_custkey AS n, list_distinct([c_custkey % 3, c_custkey % 5, 9]) AS v, list_distinct([c_custkey % 3, 8]) AS w FROM customer)
+SELECT n AS c_custkey, coalesce(array_to_string(list_sort(list_filter(w, lambda x: NOT list_contains(v, x))), ','), '') AS adds,
+       coalesce(array_to_string(list_sort(list_filter(v, lambda x: NOT list_contains(w, x))), ','), '') AS removes, (n % 3) * 10 + 8 AS folded FROM s""",
+    "names_and_paths": "SELECT r_regionkey, 'docs-index_data' AS data, 'docs-index_collection' AS collection, 'id' AS key, 'a|b' AS path, 'p_' || r_name AS identifier FROM region",
+    "stream_maintain": f"WITH {_SNAPSHOTS} {_NEW_ENTRIES}",
+    "stream_counters": "SELECT event_type, sum(length(event_type))::BIGINT AS value FROM events GROUP BY event_type",
+}

@@ -159,6 +159,10 @@ class Index(ABC):
         kept = entries.join(delta.select(*self.identity), list(self.identity), "left_anti")
         return kept.select(*IDENTITY, *self.fields).unionByName(delta.where("kind = 'insert'").drop("kind"))
 
+    def by_partition(self, delta: DataFrame) -> DataFrame:
+        """A delta in groups by partition, each in the order of its keys; no group is collected."""
+        return delta.repartition("partition_id").sortWithinPartitions("partition_id", "agg_key", "index_key", "value")
+
     def changed_partitions(self, delta: DataFrame) -> DataFrame:
         return delta.select("partition_id").distinct()
 

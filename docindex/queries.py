@@ -560,3 +560,6 @@ def ring_day(spark, sf_dir):
 @query
 def ring_week(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", keys.ring_week(F.col("ts"), 3, datetime.datetime(2024, 1, 29)).alias("slot"))
+
+
+from docindex import stored_queries  # noqa: E402, F401  (registers its queries)

@@ -9,8 +9,10 @@ are partitioned by a hash of their key.
 
 from __future__ import annotations
 
+import atexit
 import json
 import logging
+import tempfile
 import time
 import uuid
 from collections import OrderedDict
@@ -350,6 +352,27 @@ def execute(fun, spark: SparkSession | None = None, **options):
         return fun(get_connection(spark))
 
 
+def scratch_store(spark: SparkSession, **options) -> Store:
+    """A store of its own below `spark.checkpoint.dir`, which goes when the driver ends. Without that setting it is a
+    temporary folder, if this machine is all there is."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.gettempdir()
+    store = Store(spark, f"{root}/docindex-store-{uuid.uuid4().hex}", **options)
+
+    def clean() -> None:
+        try:
+            path, fs = store._fs(store.root)
+            fs.delete(path, True)
+        except Exception:  # the JVM may be gone first
+            pass
+
+    atexit.register(clean)
+    return store
+
+
 @dataclass
 class Config:
     """Settings of the engine; those of a session begin with `spark.docindex.`."""

@@ -1,4 +1,5 @@
 import datetime
+import os
 import random
 
 import pytest
@@ -10,7 +11,7 @@ from docindex.operators import changes, crdt, merge, paths, typespec
 from docindex.operators.documents import Document, entry
 from docindex.plans.catalog import AlreadyExists, BadIndex, Collection, Manager
 from docindex.plans.index import BadPattern, HashIndex, MissingPatternKey, RingIndex, SimpleIndex, from_json
-from docindex.sources.store import Cache, NotFound, Options, Store
+from docindex.sources.store import Cache, Config, Conflict, DatatypeMismatch, NotFound, Options, Store, execute
 from docindex.streaming import maintain
 
 
@@ -428,3 +429,105 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     assert {r.op: r.value for r in spark.table("counted").collect()} == {"insert": 1, "delete": 1}
     assert maintain.ring(spark.readStream.format("rate").load(), "timestamp", 2, ["value"]).isStreaming
+
+
+PATCH_KIND = (
+    T.StructType().add("id", "string").add("n", "long").add("tags", T.ArrayType(T.StringType())).add("at", T.StructType().add("a", "string").add("f", "boolean"))
+    .add("m", T.MapType(T.StringType(), T.StructType().add("x", "long")))
+)
+
+
+def patched(spark, *ops):
+    doc = F.from_json(F.lit('{"id": "i", "n": 1, "tags": ["a", "b"], "at": {"a": "v", "f": true}, "m": {"k": {"x": 1}}}'), PATCH_KIND)
+    rows = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(p).alias("path"), F.lit(a).alias("action"), F.lit(v).cast("string").alias("value")) for i, (p, a, v) in enumerate(ops)])
+    return one(spark, crdt.patch(doc, PATCH_KIND, rows).alias("r")).r
+
+
+def test_patch_nested(spark):
+    r = patched(spark, ("/at/a", "set", "w"), ("/m/k/x", "increment", None), ("/m/new/x", "decrement", None), ("/tags", "remove", "a"), ("/n", "remove", None), ("/id", "update", "j"), ("/id/", "remove", None))
+    assert (r.doc.at.a, r.doc.m["k"].x, r.doc.m["new"].x, r.doc.tags, r.doc.n, r.doc.id) == ("w", 2, -1, ["b"], None, None)
+    assert (r.updated, r.removed) == (["/at/a", "/m/k/x", "/m/new/x", "/tags"], ["/id", "/n"])
+    r = patched(spark, ("/m/k", "remove", None), ("/tags", "remove", None), ("/at", "update", '{"a": "q", "f": false}'))
+    assert (r.doc.m, r.doc.tags, r.doc.at.a, r.removed) == ({}, None, "q", ["/m/k", "/tags"])
+
+
+@pytest.mark.parametrize(("op", "error"), [(("/zz", "set", "1"), "missing_spec"), (("/at/zz", "set", "1"), "missing_spec"), (("/n/a", "set", "1"), "badkey"), (("/n", "enable", None), "badaction"), (("n", "set", "1"), "badpath")])
+def test_patch_errors(spark, op, error):
+    with pytest.raises(Exception, match=error):
+        patched(spark, op)
+
+
+def test_new_map_checks_at_any_depth(spark):
+    spec = {"a": ("map", {"b": ("register", "integer")}), "m": ("map", {"_": ("set", "binary")})}
+    kind = T._parse_datatype_string("a struct<b:bigint,zz:string>, m map<string,array<string>>")
+    doc = F.from_json(F.lit('{"a": {"b": 1, "zz": "x"}, "m": {"k": ["y", "x", "y"]}}'), kind)
+    with pytest.raises(KeyError, match="missing_spec.*/a/zz"):
+        typespec.new_map(doc, kind, spec)
+    r = one(spark, typespec.new_map(doc, kind, spec, missing_spec="ignore").alias("r")).r
+    assert r.doc.asDict(True) == {"a": {"b": 1}, "m": {"k": ["x", "y"]}} and r.updated == ["/a/b", "/m/k"] and r.removed == []
+    with pytest.raises(TypeError, match="datatype_mismatch: /a/b"):
+        typespec.new_map(doc, kind, {"a": ("map", {"b": ("flag", "boolean")})}, missing_spec="ignore")
+
+
+def test_build_skips_incomplete_rows(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "1"), (None, "2"), ("b", None)], "k string, v string")
+    index = HashIndex("i", "b", ("k",), ("v",), partition_by=("k",))
+    assert [r.k for r in index.build(rows).collect()] == ["a"]
+    manager = Manager(Store(spark, f"file://{tmp_path}"))
+    collection = manager.create_index(index, Collection("c", "b"), rows)
+    assert manager.rebuild_index("i", collection, rows) == {"succeeded": 1, "failed": 2}
+
+
+def test_ring_takes_deltas_and_patterns(spark, tmp_path):
+    rows = spark.sql("SELECT 'u' || id % 2 u, 'e' || id e, timestamp'2024-01-01' + make_dt_interval(cast(id as int)) ts FROM range(4)")
+    ring = RingIndex("r", "b", ("u",), ("e",), timestamp_field="ts", slots=16)
+    wanted = rows.select("u", ring.slot(F.col("ts")).cast("string").alias("slot"))
+    assert sorted(r.e for r in ring.match_many(ring.build(rows), wanted).collect()) == ["e0", "e1", "e2", "e3"]
+    with pytest.raises(MissingPatternKey):
+        ring.match(ring.build(rows), {"slot": "1"})
+
+
+def test_store_versions(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}", slices=4)
+    frame = lambda *rows: spark.createDataFrame(rows, "key string, v long")
+    store.put("t", "b", frame(*[(f"k{i}", i) for i in range(40)]))
+    before = store.documents("t", "b")
+    with pytest.raises(ValueError, match="several rows"):
+        store.put("t", "b", frame(("k1", 5), ("k1", 6)))
+    first = store._manifest("t", "b")
+    store.put("t", "b", frame(("k1", 5), ("k1", 6)), order=["v"])
+    assert store.get("t", "b", "k1").first().v == 6 and store.documents("t", "b").count() == 40
+    assert before.where("key = 'k1'").first().v == 1  # a plan of the last version still reads its files
+    with pytest.raises(Conflict):
+        store.publish("t", "b", first, first["version"])
+    second = store._manifest("t", "b")
+    assert len([k for k, p in second["parts"].items() if first["parts"][k] != p]) == 1  # one slice was rewritten
+    assert [f.endswith("crc") for f in os.listdir(f"{tmp_path}/t/b/_manifests") if not f.isdigit()] in ([], [True], [True, True])
+
+
+def test_partitions_and_requests(spark, tmp_path):
+    manager = Manager(Store(spark, f"file://{tmp_path}"))
+    manager.create_index(USERS, Collection("users", "users"), users(spark, 5))
+    with pytest.raises(NotFound, match="partition_not_found"):
+        manager.partition(USERS, "users_partition_99")
+    with pytest.raises(ValueError, match="badarg"):
+        Options.validated("delete", {"return_body": True})
+    assert Options.validated("delete", {"return_body": True, "r": 1}, "relaxed").request() == {"timeout": 60_000, "return_body": False, "r": 1}
+    config = Config.of(spark, bucket_slices="8", cache="true")
+    config.set("cache_entries", 2)
+    assert (config.get("bucket_slices"), config.store(spark, "/x").cache.entries, config.store(spark, "/x").slices) == (8, 2, 8)
+    with pytest.raises(KeyError):
+        config.get("none")
+    with pytest.raises(DatatypeMismatch):
+        execute(lambda s: s.sql("SELECT cast('x' AS int)").collect(), spark)
+
+
+def test_cursor(spark):
+    entries = USERS.build(users(spark, 5))
+    for descending in (False, True):
+        cursor, seen = USERS.cursor(entries, 3, descending=descending), []
+        while not cursor.done:
+            seen.append(cursor.key)
+            cursor.move()
+        assert len(seen) == 10 and seen == sorted(seen, reverse=descending)
+    assert USERS.cursor(entries.where("false")).done
