@@ -29,3 +29,12 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, max_docs: int = MAX_D
     chosen = usable.orderBy(F.xxhash64("_id"), "_id", "label").limit(max_docs)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     return rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
+
+
+def without_label(docs: DataFrame, labels: DataFrame, max_docs: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, label) of at most `max_docs` documents that no row of `labels` names; their label is null."""
+    named = labels.select(F.col(id_col).alias("_id")).distinct()
+    ids = docs.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").join(named, "_id", "left_anti")
+    chosen = ids.distinct().orderBy(F.xxhash64("_id"), "_id").limit(max_docs)
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    return rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", F.lit(None).cast("int").alias("label"))

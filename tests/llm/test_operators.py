@@ -476,6 +476,35 @@ def test_drop_toxic(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i in range(60) if i % 3} | {None, 70}
 
 
+def test_glued_and_long_words_are_read(spark):
+    """Insults between marks, in words of any length, and beside blanks that aren't ASCII."""
+    finder = toxicity.Finder(["idiot", "^moro"])
+    v = lambda text: toxicity.votes(text, finder)
+    assert v("an idiot_moron_" + "x" * 500)[:2].tolist() == [1, 1]
+    assert v("idiot,moron")[-2] == 1 and v("moroni" * 100)[1] == 1 and v("nothing")[-2] == 0
+    mined = {e for w in toxicity.tokens("big idiot\u3000here") for e in toxicity.entries_of(w.decode())}
+    assert "idiot" in mined and v("big idiot\u3000here")[-2] == 1
+    assert v("YOU soooo i*iot !! you idiot")[2:7].tolist() == [1, 1, 1, 1, 1]
+
+
+def test_label_model_against_brute_force():
+    """Posteriors with independent voters are Bayes' rule; unlabelled documents go by the voters alone."""
+    rng = np.random.default_rng(4)
+    y = rng.random(3000) < 0.4
+    x = np.stack([np.where(y, rng.random(3000) < a, rng.random(3000) < b) for a, b in ((0.8, 0.1), (0.6, 0.05), (0.7, 0.2), (1.0, 0.0))], axis=1)
+    seen = np.arange(3000) < 1500
+    x[~seen, -1] = False
+    m = toxicity.LabelModel().fit(x, np.where(seen, np.where(x[:, -1], 0.9, 0.1), 0.0), seen)
+    assert np.allclose(m.on[:3], (0.8, 0.6, 0.7), atol=0.06) and np.allclose(m.off[:3], (0.1, 0.05, 0.2), atol=0.06) and abs(m.prior - 0.4) < 0.06
+    for i in (*range(5), *range(2995, 3000)):
+        yes, no = m.prior, 1 - m.prior
+        for k in range(4 if seen[i] else 3):
+            a, b = (m.on[k], m.off[k]) if x[i, k] else (1 - m.on[k], 1 - m.off[k])
+            yes, no = yes * a ** m.weight[k], no * b ** m.weight[k]
+        assert np.isclose(m.posterior(x, seen)[i], yes / (yes + no))
+    assert ((m.posterior(x, seen) > 0.5) == y)[~seen].mean() > 0.85
+
+
 def test_label_model_reads_correlations():
     rng = np.random.default_rng(1)
     y = rng.random(2000) < 0.3
