@@ -11,9 +11,12 @@ two empty fingerprints are alike (1.0). The next document follows in the order o
 digest and length; null ids come first; after the last comes the first, and a single document follows itself.
 Repeated rows are documents of their own.
 
-Plan. Blocks of consecutive ids are cut at quantiles of the ids. A text is moved once, to its block; the first
-document of each block goes also to the block before. Inside a partition rows are sorted and read as a stream, so
-a task holds two documents. What the driver gets is a list of block starts, one for each partition of the shuffle.
+Ids may be of any type that can be ordered.
+
+Plan. Blocks of consecutive ids are cut at quantiles of the ids (of a sample of them, if they are no numbers), as many
+as the shuffle has partitions and at least one for each BLOCK_BYTES of text. A text is moved once, to its block, which
+is a partition of its own; the first document of each block goes also to the block before. Inside a partition rows are
+sorted and read as a stream, so a task holds two documents. What the driver gets is a list of block starts.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from .common import small_batches, text_of
 from .shingles import mix
 
 K, WINDOW = 16, 32
+#: Text of a block, on average at most; ids of which the cuts are taken, for each block, where ids are no numbers.
+BLOCK_BYTES, SAMPLED = 64 << 20, 50
 _BASE = np.uint64(0x100000001B3 * 2 + 1)
 
 
@@ -155,9 +160,9 @@ def compare_with_next(docs: DataFrame, k: int = K, window: int = WINDOW, id_col:
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.select(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], 10 * blocks).alias("q")).first()["q"] if blocks > 1 else None
-    cuts = sorted(set(cuts or []))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
+    cuts = _cuts(rows.select("doc_id").where("doc_id IS NOT NULL"), blocks)
     # 1 + the number of cuts up to the id, by a binary search in a constant array; null ids are the first block.
     block = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(_bucket(F.col("doc_id"), cuts))
     placed = rows.select(block.alias("block"), "doc_id", "text")
@@ -177,10 +182,22 @@ def compare_with_next(docs: DataFrame, k: int = K, window: int = WINDOW, id_col:
     joined = placed.join(F.broadcast(first), is_first, "left")
     places = F.array_compact(F.array(F.struct(F.col("block").alias("block"), F.lit(False).alias("ahead")), F.when(F.col("s_before").isNotNull(), F.struct(F.col("s_before").alias("block"), F.lit(True).alias("ahead")))))
     spread = joined.select(F.explode(places).alias("p"), "doc_id", "text").select("p.block", "p.ahead", "doc_id", "text")
-    parted = spread.repartition(blocks, "block").sortWithinPartitions("block", "ahead", F.asc_nulls_first("doc_id"), F.md5("text"))
+    parted = spread.repartitionById(len(cuts) + 2, F.col("block")).sortWithinPartitions("block", "ahead", F.asc_nulls_first("doc_id"), F.md5("text"))
     return parted.mapInArrow(_stream(k, window, schema), schema)
 
 
+def _cuts(ids: DataFrame, blocks: int) -> list:
+    """Ids that part all of them into about `blocks` equal runs; where they lie has no effect on any result."""
+    if blocks < 2:
+        return []
+    if isinstance(ids.schema["doc_id"].dataType, T.NumericType):
+        return sorted(set(ids.select(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], 10 * blocks).alias("q")).first()["q"] or []))
+    some = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLED * blocks)
+    # Ordered by Spark, whose order of text is that of its bytes.
+    found = [r["doc_id"] for r in some.orderBy("doc_id").collect()]
+    return list(dict.fromkeys(found[len(found) * i // blocks] for i in range(1, blocks))) if found else []
+
+
 def _bucket(c: Column, cuts: list) -> Column:
     """1 + the number of cuts that are at most c, by binary search in a constant array."""
     if not cuts:

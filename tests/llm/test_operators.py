@@ -380,6 +380,9 @@ def test_winnow_with_next(spark, edge, none):
         want.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), winnow.written(*own), winnow.written(*other), winnow.likeness(own[0], other[0]), winnow.likeness(own[0], follow[0])))
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     assert winnow.compare_with_next(none).count() == 0
+    named = docs(spark, EDGE).withColumn("doc_id", F.concat(F.lit("né-"), F.lpad("doc_id", 4, "0")))
+    texts = winnow.compare_with_next(named).drop("doc_id")
+    assert sorted(map(tuple, texts.collect()), key=repr) == sorted((r[1:] for r in want), key=repr)
     alone = winnow.compare_with_next(docs(spark, [(3, "alone in the world, with itself to follow")])).first()
     assert alone.near_next == 1.0
     plain = winnow.fingerprints(edge).where("doc_id = 9").first().fingerprint
