@@ -66,7 +66,15 @@ def cut(df: DataFrame, **options: str) -> DataFrame:
         df.write.options(**options).parquet(at)
     finally:
         spark.conf.unset(_CLEAN_UP) if before is None else spark.conf.set(_CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(at)
+    table = spark.read.schema(df.schema).parquet(at)
+    table._scratch = at
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table made by `cut` that nothing reads any more."""
+    if at := getattr(table, "_scratch", None):
+        remove(table.sparkSession, at)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def _stars(e: DataFrame) -> DataFrame:
@@ -32,6 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == seen or not now["n"]:
             break
         seen = now
-        e = cut(_stars(e))
+        before, e = e, cut(_stars(e))
+        discard(before)
     roots = e.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
     return e.select(F.col("v").alias("node"), F.col("u").alias("root")).unionAll(roots)

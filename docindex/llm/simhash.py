@@ -21,8 +21,9 @@ are equal texts. An empty table gives an empty table; other columns are not read
 
 Plan. Texts are read once for fingerprints and once for the pairs that need the exact comparison. Equal texts are
 collapsed by a partial aggregate before tables are made, so a group of copies is one row. Tables are
-range-partitioned on the sampled bits: a hot prefix is spread over partitions, and a task holds `cap` rows at once,
-or two blocks of texts of which all pairs are compared.
+range-partitioned on the sampled bits and the fingerprint: a hot prefix, or key, is spread over partitions, and a task
+holds `cap` rows at once, or two blocks of texts of which all pairs are compared. A bucket at the edge of a partition
+may have been cut in two there; its texts count as parted by SPREAD bits, which calls for further tables.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small_batches, text_of
+from .common import cut, discard, small_batches, text_of
 from .components import components
 from .shingles import WordHashes, mix, shingles
 
@@ -50,7 +51,7 @@ MANY = 64
 MISS = 0.01
 #: Tables that are shuffled at once; the next group comes when the shuffle of the last one is gone.
 GROUP = 12
-#: Texts are range-partitioned by so many bits more than a bucket has.
+#: A bucket at the edge of a partition counts as one of so many bits more.
 SPREAD = 8
 #: What a bucket of more bits counts for: the coordinates that split a hot run are also those in which near copies differ.
 DEEP = 0.5
@@ -299,15 +300,16 @@ def _verified(similarity: float):
     return run
 
 
-#: Bits of the filter that spares texts that no pair asks for the shuffle: 2 MB, whatever the input.
-FILTER_BITS = 1 << 24
+#: Bits of the filter that spares texts that no pair asks for the shuffle: 16 for each wanted text, 32 MB at most.
+FILTER_BITS = 1 << 28
 
 
 def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of `docs` whose digest may be in `wanted`: a bitmap of fixed size, so it may keep more, never less."""
-    bit = F.pmod(F.xxhash64("tid"), F.lit(FILTER_BITS))
+    """The rows of `docs` whose digest may be in `wanted`: a bitmap of bounded size, so it may keep more, never less."""
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * wanted.count()).bit_length()))
+    bit = F.pmod(F.xxhash64("tid"), F.lit(bits))
     words = wanted.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 AS int)))").alias("bits"))
-    bitmap = np.zeros(FILTER_BITS // 64, np.uint64)
+    bitmap = np.zeros(bits // 64, np.uint64)
     got = words.toArrow()
     bitmap[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
     held = docs.sparkSession.sparkContext.broadcast(bitmap)
@@ -325,8 +327,7 @@ def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _met(distinct: DataFrame, tables: int, first: int, similarity: float, base: int, cap: int) -> DataFrame:
     """(a, b, sure, lost) of the tables from `first` on."""
     rows = distinct.mapInArrow(_tables(tables, first), "t int, key long, tid binary, n int, print binary")
-    lead = F.shiftright("key", max(64 - base - SPREAD, 0))
-    rows = rows.repartitionByRange("t", lead).sortWithinPartitions("t", "key", "print", "tid")
+    rows = rows.repartitionByRange("t", "key", "print").sortWithinPartitions("t", "key", "print", "tid")
     return cut(rows.mapInArrow(_links(similarity, base, cap, lost=True), "a binary, b binary, sure boolean, lost double"))
 
 
@@ -346,7 +347,9 @@ def _candidates(distinct: DataFrame, similarity: float, tables: int, cap: int) -
         out += [f.where("b IS NOT NULL").drop("lost") for f in found]
         lost = reduce(DataFrame.unionAll, found).where("b IS NULL").groupBy(F.col("a").alias("tid")).agg(F.sum("lost").alias("lost"))
         now = F.col("missed") + F.lit(float(number * missed(similarity, base))) + F.coalesce("lost", F.lit(0.0))
+        before = left
         left = cut(left.join(lost, "tid", "left").select("tid", "n", "print", now.alias("missed")).where(F.col("missed") > math.log(MISS)))
+        discard(before)
         count, mean, most = left.agg(F.count(F.lit(1)), F.avg("missed"), F.max("missed")).first()
         if not count:
             return out
