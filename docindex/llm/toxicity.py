@@ -20,6 +20,7 @@ texts without a shuffle.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -190,10 +191,19 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def mine(labelled: DataFrame, max_entries: int = 200, least: int = 4) -> list[str]:
-    """Entries whose documents are toxic far more often than others: at most `max_entries`, best first."""
-    counts = labelled.mapInArrow(_words, "entry string, label int").groupBy("entry").agg(F.sum("label").alias("yes"), F.count(F.lit(1)).alias("n"))
+    """Entries whose documents are toxic far more often than others: at most `max_entries`, best first.
+
+    Of the entries taken, at most one is to be expected by chance: the exponent of Chernoff's bound for as many toxic
+    documents at the sample's own rate is at least the logarithm of the number of entries.
+    """
+    counts = cut(labelled.mapInArrow(_words, "entry string, label int").groupBy("entry").agg(F.sum("label").alias("yes"), F.count(F.lit(1)).alias("n")))
+    whole = labelled.agg(F.avg("label").alias("rate")).first()["rate"]
+    if not whole or whole == 1:
+        return []
     rate = (F.col("yes") + 0.1) / (F.col("n") + 1)
-    good = counts.where((F.col("yes") >= least) & (rate >= 0.7))
+    share = F.col("yes") / F.col("n")
+    exponent = F.col("yes") * F.log(share / whole) + F.when(F.col("yes") < F.col("n"), (F.col("n") - F.col("yes")) * F.log((1 - share) / (1 - whole))).otherwise(0.0)
+    good = counts.where((F.col("yes") >= least) & (rate >= 0.7) & (exponent >= math.log(max(counts.count(), 1))))
     # A lower bound of the rate, times the documents it stands for.
     gain = F.col("yes") * (rate - F.sqrt(rate * (1 - rate) / (F.col("n") + 1)) - 0.4)
     best = good.orderBy(gain.desc(), "entry").limit(5 * max_entries).select("entry", "yes", "n").collect()
