@@ -36,23 +36,26 @@ ALLOW, BLOCK, LISTED = 0, 1, 2
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 BAD_HOSTS = tuple(f"{name}.example.{top}" for name in ("casino-win", "free-bets", "cheap-pills", "spam-farm", "adult-x", "ads-track") for top in ("com", "net", "org"))
 
-_HEAD = struct.Struct("<QQQ")
+_HEAD = struct.Struct("<QQQQ")
+#: The largest file that is handed to executors.
+MAX_BYTES = 2 << 30
 
 
 def packed(rules: Iterable[tuple[str, str, str]], bad_hosts: Iterable[str] = ()) -> bytes:
-    """The file: counts, path lengths, sorted digests, ends of the strings, actions, strings."""
+    """The file: counts, the most labels that a host has, path lengths, sorted digests, ends of the strings, actions, strings."""
     entries: dict[str, int] = {host: LISTED for host in bad_hosts}
-    lengths = set()
+    lengths, labels = set(), max((host.count(".") + 1 for host in entries), default=0)
     for verdict, host, path in rules:
         if not path.startswith("/") or "/" in host:
             raise ValueError(f"not a rule: {host!r} {path!r}")
         entries[host.lower() + path] = {"allow": ALLOW, "block": BLOCK}[verdict]
         lengths.add(len(path))
+        labels = max(labels, host.count(".") + 1)
     keys = sorted(((xxhash.xxh3_64_intdigest(k), k.encode(), a) for k, a in entries.items()))
     ends = np.cumsum([0, *(len(k) for _, k, _ in keys)], dtype=np.uint64)
     return b"".join(
         (
-            _HEAD.pack(len(keys), len(lengths), int(ends[-1])),
+            _HEAD.pack(len(keys), len(lengths), int(ends[-1]), labels),
             np.array(sorted(lengths), "<u8").tobytes(),
             np.array([d for d, _, _ in keys], "<u8").tobytes(),
             ends.astype("<u8").tobytes(),
@@ -66,6 +69,7 @@ def packed(rules: Iterable[tuple[str, str, str]], bad_hosts: Iterable[str] = ())
 class DigestArray:
     """A mapped file of `packed`."""
 
+    labels: int
     lengths: list[int]
     digests: np.ndarray
     ends: np.ndarray
@@ -75,14 +79,14 @@ class DigestArray:
     @classmethod
     def open(cls, path: str) -> DigestArray:
         data = np.memmap(path, np.uint8, "r")
-        n, k, size = _HEAD.unpack(data[: _HEAD.size].tobytes())
+        n, k, size, labels = _HEAD.unpack(data[: _HEAD.size].tobytes())
         at = _HEAD.size
         parts = []
         for count, kind in ((k, "<u8"), (n, "<u8"), (n + 1, "<u8"), (n, "<u1"), (size, "<u1")):
             end = at + count * np.dtype(kind).itemsize
             parts.append(data[at:end].view(kind))
             at = end
-        return cls(parts[0].tolist(), *parts[1:])
+        return cls(labels, parts[0].tolist(), *parts[1:])
 
     def probe(self, keys: list[str]) -> np.ndarray:
         """The entry of each key, or -1: binary search by digest, then the strings themselves."""
@@ -107,8 +111,12 @@ class DigestArray:
         keys, owner, rank = [], [], []
         hosts = list(hosts)
         for i, (host, path) in enumerate(zip(hosts, paths)):
-            suffix = host
-            while suffix:
+            # No listed host has more labels, so a longer suffix can't fit: work is in proportion to the url.
+            last = host.rsplit(".", self.labels) if self.labels else []
+            for k in range(min(len(last), self.labels), 0, -1):
+                suffix = ".".join(last[-k:])
+                if not suffix:
+                    continue
                 for n in self.lengths:
                     if n <= len(path):
                         keys.append(suffix + path[:n])
@@ -117,7 +125,6 @@ class DigestArray:
                 keys.append(suffix)
                 owner.append(i)
                 rank.append((0, len(suffix)))
-                suffix = suffix.partition(".")[2]
         best: list[tuple | None] = [None] * len(hosts)
         found = self.probe(keys)
         for c in np.flatnonzero(found >= 0):
@@ -137,7 +144,9 @@ def path_of(url: Column) -> Column:
 
 
 def publish(spark: SparkSession, data: bytes) -> str:
-    """Writes the file to the shared folder and hands it to all executors; the name to open there."""
+    """Writes the file to the shared folder and hands it to all executors; the name to open there. Refused over MAX_BYTES."""
+    if len(data) > MAX_BYTES:
+        raise ValueError(f"{len(data)} bytes of rules and hosts are more than {MAX_BYTES}")
     folder = scratch(spark)
     name = f"urls-{folder.rpartition('-')[2]}"  # a session takes a file's name once
     path, fs = _path(spark, f"{folder}/{name}")
