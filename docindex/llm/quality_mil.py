@@ -1,6 +1,7 @@
 """Quality classifier: attention-based multiple-instance learning over the passages of a document.
 
-Every passage of 64 words of the whole text is encoded from its characters and words; a gated attention, learned
+Every passage of 64 words of the whole text is encoded from its characters and words (their lengths, repeats, and
+signed counts of hashed words); a gated attention, learned
 from labels of documents alone, weighs the passages, and the weighted representation is scored.
 
 Defined cases. Null and empty texts have one passage of zeros and are scored like others. Documents without an id
@@ -8,8 +9,8 @@ are scored and not learned from. Repeated rows are scored alike; of a document's
 Without labels all scores are 0.5, with labels of one class they are that class's smoothed share. An empty table
 gives an empty table. Only the id and the text are read.
 
-Plan. Training takes a bounded sample (labelled.MAX_DOCS documents), encoded on the executors; the driver gets some
-twenty numbers a passage of it and fits some hundred weights. Scoring is one pass over the texts without a shuffle.
+Plan. Training takes a bounded sample (labelled.MAX_DOCS documents of MAX_PASSAGES passages), encoded on the
+executors; the driver gets WIDTH numbers a passage of it and fits some hundred weights. Scoring is one pass over the texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, text_of
+from .common import cut, small_batches, text_of
 from .labelled import MAX_DOCS, held_out, sample
 from .shingles import WordHashes, mix
 
@@ -43,7 +44,11 @@ def _classes() -> np.ndarray:
 
 
 _KIND, _KINDS = _classes(), 12
-WIDTH = _KINDS + 7
+#: Signed buckets that the words of a passage are hashed to.
+HASHED = 16
+WIDTH = _KINDS + 7 + HASHED
+#: Passages of the sample that the driver gets at most; documents are taken whole, in the order of the digest of their ids.
+MAX_PASSAGES = 200_000
 
 
 def encode(text: str, cache: WordHashes) -> np.ndarray:
@@ -63,18 +68,22 @@ def encode(text: str, cache: WordHashes) -> np.ndarray:
     of_word = np.arange(n) // PASSAGE
     size = np.bincount(of_word, minlength=passages)
     h = np.fromiter(map(cache.__getitem__, words), np.uint64, n)
+    mixed = mix(h)
     length = np.fromiter(map(len, words), np.float64, n)
     per = lambda x: np.bincount(of_word, weights=x, minlength=passages) / size
     mean = per(length)
-    distinct = np.unique(mix(h) + of_word.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)[1]
-    pairs = mix(h[:-1]) ^ h[1:]
+    distinct = np.unique(mixed + of_word.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)[1]
+    pairs = mixed[:-1] ^ h[1:]
     seen = np.ones(n)
     seen[0] = 0
     seen[np.unique(pairs, return_index=True)[1] + 1] = 0
     same = np.r_[0.0, h[1:] == h[:-1]]
     out = np.empty((passages, WIDTH), np.float32)
     out[:, :_KINDS] = counts / counts.sum(axis=1, keepdims=True)
-    out[:, _KINDS:] = np.stack(
+    signs = np.where(mixed >> np.uint64(63), 1.0, -1.0)
+    bucket = (mixed & np.uint64(HASHED - 1)).astype(np.int64)
+    out[:, _KINDS + 7 :] = np.bincount(of_word * HASHED + bucket, weights=signs, minlength=passages * HASHED).reshape(passages, HASHED) / np.sqrt(size)[:, None]
+    out[:, _KINDS : _KINDS + 7] = np.stack(
         [mean / 10, np.sqrt(np.maximum(per(length**2) - mean**2, 0)) / 10, np.bincount(of_word[distinct], minlength=passages) / size, per(seen), per(same), per(length <= 3), np.log1p(size) / 4], axis=1
     )
     return out
@@ -139,16 +148,21 @@ class AttentionModel:
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordHashes()
     for batch in batches:
-        rows = [encode(t.as_py(), cache).tobytes() for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary()), batch.column("label")], ["doc_id", "x", "label"])
+        rows = [encode(t.as_py(), cache) for t in batch.column("text")]
+        columns = [batch.column("doc_id"), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(map(len, rows), pa.int32()), batch.column("label")]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "x", "n", "label"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs: int = MAX_DOCS, **columns) -> AttentionModel | float:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs: int = MAX_DOCS, max_passages: int = MAX_PASSAGES, **columns) -> AttentionModel | float:
     """The fitted model; a constant score where the labels don't have both classes."""
     small_batches(docs.sparkSession)
     rows = sample(docs, labels, label, max_docs, **columns)
-    shape = T.StructType([rows.schema["doc_id"]]).add("x", "binary").add("label", "integer")
-    got = sorted(rows.mapInArrow(_encoded, shape).collect(), key=lambda r: (r["doc_id"], r["label"], bytes(r["x"])))
+    shape = T.StructType([rows.schema["doc_id"]]).add("x", "binary").add("n", "integer").add("label", "integer")
+    encoded = cut(rows.mapInArrow(_encoded, shape)).withColumn("digest", F.xxhash64("doc_id", "x"))
+    # At most `max_docs` rows, or as many as their ids have: the window is over a bounded table.
+    before = F.sum("n").over(Window.orderBy("digest").rowsBetween(Window.unboundedPreceding, 0))
+    kept = encoded.select("digest", "n").withColumn("before", before).where(F.col("before") <= max_passages).select("digest").distinct()
+    got = sorted(encoded.join(F.broadcast(kept), "digest", "left_semi").collect(), key=lambda r: (r["doc_id"], r["label"], bytes(r["x"])))
     y = np.array([r["label"] for r in got], np.float64)
     if not len(y) or y.min() == y.max():
         return float((y.sum() + 1) / (len(y) + 2))

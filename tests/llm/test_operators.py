@@ -148,6 +148,23 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.where("false")).count() == 0
 
 
+def test_long_urls(tmp_path, monkeypatch):
+    """A host of a hundred thousand labels takes no longer than its length, and all suffixes that can fit are tried."""
+    at = tmp_path / "f"
+    at.write_bytes(url_filter.packed([*url_filter.RULES, ("block", "a.b.c.d.org", "/")], ["x..bad.org"]))
+    array = url_filter.DigestArray.open(str(at))
+    deep, probed = "a." * 100_000, []
+    find = array.probe
+    monkeypatch.setattr(url_filter.DigestArray, "probe", lambda self, keys: probed.extend(keys) or find(keys))
+    hosts = [deep + "example.com", deep + "b.c.d.org", deep + "x..bad.org", "..", deep, "b.c.d.org"]
+    rules, verdicts = array.judge(hosts, ["/en/" + "x" * 100_000, "/", "/", "/", "/", "/"])
+    assert rules == ["example.com/en/", "a.b.c.d.org/", None, None, None, None] and verdicts == ["block", "block", "block", "allow", "allow", "allow"]
+    assert len(probed) < 200 and max(map(len, probed)) < 200
+    monkeypatch.setattr(url_filter, "MAX_BYTES", 10)
+    with pytest.raises(ValueError, match="bytes"):
+        url_filter.publish(None, b"x" * 11)
+
+
 def test_digest_collision(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh3_64_intdigest", lambda raw: 5)
     at = tmp_path / "f"
@@ -435,6 +452,43 @@ def test_gradients():
     assert np.allclose(sums, 1)
 
 
+def test_attention_against_brute_force(spark):
+    """Scores of whole texts, passage by passage and word by word."""
+    rng, model = np.random.default_rng(2), quality_mil.AttentionModel()
+    texts = [words(i, n) for i, n in ((1, 10), (2, 64), (3, 65), (4, 300))] + ["", "A!! B?? | 12"]
+    cache = WordHashes()
+    parts = [quality_mil.encode(t, cache) for t in texts]
+    model.shift, model.scale = rng.normal(size=quality_mil.WIDTH), rng.random(quality_mil.WIDTH) + 0.5
+    got = model.score(np.concatenate(parts).astype(float), np.cumsum([0, *map(len, parts[:-1])]))
+    p, sigmoid = model.p, lambda v: 1 / (1 + np.exp(-v))
+    for text, x, y in zip(texts, parts, got):
+        assert len(x) == max(1, -(-len(text.split()) // 64))
+        h = [np.tanh(np.clip((r - model.shift) / model.scale, -6, 6) @ p["E"] + p["e"]) for r in x.astype(float)]
+        a = np.array([(np.tanh(v @ p["V"]) * sigmoid(v @ p["U"])) @ p["w"] for v in h])
+        weight = np.exp(a) / np.exp(a).sum()
+        assert np.isclose(y, sigmoid(sum(w * v for w, v in zip(weight, h)) @ p["c"] + p["b"][0]))
+        for k, row in enumerate(x):
+            passage = text.split()[64 * k : 64 * k + 64]
+            counts = np.zeros(quality_mil.HASHED)
+            for w in passage:
+                m = int(quality_mil.mix(np.array([cache[w.encode()]], np.uint64))[0])
+                counts[m % quality_mil.HASHED] += 1 if m >> 63 else -1
+            assert np.allclose(row[-quality_mil.HASHED :], counts / np.sqrt(max(len(passage), 1)), atol=1e-5)
+
+
+def test_passages_are_bounded(spark):
+    rows = [(i, words(i, 640 if i % 10 == 0 else 30) + (" !! ||" * 9 if i % 2 else "")) for i in range(80)]
+    lab = labels(spark, [(i, (i + 1) % 2, 0) for i, _ in rows])
+    sizes = []
+    fit = quality_mil.AttentionModel.fit
+    try:
+        quality_mil.AttentionModel.fit = lambda self, x, starts, y, **k: sizes.append(len(x)) or fit(self, x, starts, y, **k)
+        quality_mil.fit(docs(spark, rows), lab, max_passages=60)
+    finally:
+        quality_mil.AttentionModel.fit = fit
+    assert 30 < sizes[0] <= 60
+
+
 def heldout_accuracy(spark, folder, name, label):
     got = queries.QUERIES[name](spark, folder)
     both = got.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out").select("predicted", label).collect()
