@@ -77,11 +77,15 @@ def discard(table: DataFrame) -> None:
         remove(table.sparkSession, at)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of texts hold at most `rows` rows, so that long documents don't add up."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, rows)
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 64 << 20) -> None:
+    """Arrow batches of texts hold at most `rows` rows and about `size` bytes, so that long documents don't add up.
+
+    Spark reads these settings when a plan runs, so they stay as they are set, unless the session's are smaller.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key, None)
+        if not (now or "").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
 
 
 def text_of(name: str = "text") -> Column:
