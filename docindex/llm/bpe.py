@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, scratch, small_batches, text_of
+from .common import cut, release, scratch, small_batches, text_of
 
 #: The word pattern of byte-level BPE, as its files' pre-tokenizer has it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -164,7 +164,10 @@ def _split(special: list[str], schema: pa.Schema, block_words: int, block_distin
                     numbers, words, block = Numbers(), 0, uuid.uuid4().int >> 65
             if docs:
                 yield rows(block=blocks, doc_id=batch.column("doc_id"), codes=docs, kind=[1] * len(docs))
+            del docs, blocks
         yield from block_rows()
+        numbers = split = None
+        release()
 
     return run
 
@@ -192,6 +195,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip([0, *ends], [*ends, len(block)]):
             for at in range(a, b, PACKED_WORDS):
                 yield packed(batch.slice(at, min(b - at, PACKED_WORDS)))
+    release()
 
 
 def _ragged(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,6 +255,8 @@ def _assemble(with_ids: bool, schema: pa.Schema, group_words: int = 1 << 18):
             if n >= group_words or i == len(docs):
                 out.append(results(block, ids.slice(first, i - first), codes))
                 first, codes, n = i, [], 0
+        del block, codes
+        release()
         return pa.Table.from_batches(out, out[0].schema) if out else schema.empty_table()
 
     return run

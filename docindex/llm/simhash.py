@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, discard, small_batches, text_of
+from .common import cut, discard, release, small_batches, text_of
 from .components import components
 from .shingles import WordHashes, mix, shingles
 
@@ -98,6 +98,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 bits[i] = bits_of(h)
         prints = pa.array(list(map(bytes, np.packbits(bits, axis=1))), pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tid"), pa.array(n), prints], ["doc_id", "tid", "n", "print"])
+    del cache
+    release()
 
 
 def _tables(tables: int, first: int = 0):
@@ -296,6 +298,8 @@ def _verified(similarity: float):
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(both >= similarity * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        del cache
+        release()
 
     return run
 
