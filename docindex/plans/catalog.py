@@ -7,7 +7,7 @@ dropped, so that a listed index always has its data.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from concurrent.futures import Future, ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docindex.functions.keys import collection_bucket, string_hash, string_hash_value
-from docindex.plans.index import HashIndex, Index, from_json
+from docindex.plans.index import IDENTITY, HashIndex, Index, from_json
 from docindex.sources.store import SLICE, NotFound, Store
 
 CATALOG = "collection string, index_name string, index_type string, config string"
@@ -184,26 +184,45 @@ class Manager:
             return "partition_id", None
         return SLICE, F.pmod(string_hash(F.col("partition_id")), F.lit(self.store.slices)).cast("int")
 
-    def _laid_out(self, index: Index, entries: DataFrame) -> DataFrame:
-        """Sorted for skipping, and in as many tasks as the shuffle has, however few partitions the index has."""
-        order = ("partition_id", "agg_key", "index_key", "value")
-        by, part = self._part(index)
-        entries = entries if part is None else entries.withColumn(by, part)
+    def _files(self, index: Index) -> int:
+        """Parts of each folder, so that a table is spread over all tasks, however few folders it has."""
         folders = index.partitions if isinstance(index, HashIndex) else self.store.slices
-        files = max(1, int(self.store.spark.conf.get("spark.sql.shuffle.partitions")) // folders)
-        return entries.repartition(by, F.pmod(F.xxhash64(*order), F.lit(files))).sortWithinPartitions(by, *order)
+        tasks = int(self.store.spark.conf.get("spark.sql.shuffle.partitions"))
+        return max(-(-4 * min(tasks, 32) // folders), tasks // folders)
 
-    def _write(self, index: Index, entries: DataFrame) -> None:
-        self.store.overwrite(self._laid_out(index, entries), *self._data(index), partition_by=self._part(index)[0])
+    def _laid_out(self, index: Index, slim: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+        """The last row of each identity by `order`, sorted for skipping: one shuffle and one sort for both.
 
-    def _apply(self, index: Index, delta: DataFrame) -> None:
-        """Reads and rewrites the partitions (of a simple index, the slices) that a delta touches."""
+        Identities are mostly unique, so they aren't aggregated before the shuffle, which would sort the rows twice.
+        `_file` follows from the identity; as a key it tells Spark that equal identities have met.
+        """
+        by, part = self._part(index)
+        spread = slim if part is None else slim.withColumn(by, part)
+        rows = index.keyed(spread.repartition(by, "_file"))
+        keys = tuple(dict.fromkeys((by, *index.identity)))
+        rest = [c for c in ("value", *index.fields) if c not in keys]
+        last = rows.groupBy(*keys, "_file").agg(F.max(F.struct(*order, *rest)).alias("_last"))
+        if order:
+            last = last.where("_last.kind = 'insert'")
+        names = dict.fromkeys((*IDENTITY, *index.fields, by))
+        return last.select(*[n if n in keys else F.col("_last")[n].alias(n) for n in names]).sortWithinPartitions(*keys)
+
+    def _write(self, index: Index, base: DataFrame) -> None:
+        leaves = index.leaves(base.where(index.complete(base)), strict=False)
+        self.store.overwrite(self._laid_out(index, index.slim(leaves, self._files(index))), *self._data(index), partition_by=self._part(index)[0])
+
+    def _touched(self, index: Index, changes: DataFrame) -> list[str]:
+        """The partitions (of a simple index, the slices) that changes touch: as many as folders, at most."""
         by, part = self._part(index)
-        touched = (delta if part is None else delta.withColumn(by, part)).select(by).distinct().collect()  # as many as folders, at most
-        touched = [str(r[0]) for r in touched]
-        new = index.apply(self.store.read(*self._data(index), partitions=touched), delta)
-        self.store.replace_partitions(self._laid_out(index, new), *self._data(index), by, touched)
-        delta.unpersist()
+        return [str(r[0]) for r in (changes if part is None else changes.withColumn(by, part)).select(by).distinct().collect()]
+
+    def _apply(self, index: Index, changes: DataFrame, touched: list[str], files: int) -> None:
+        """Reads and rewrites the touched partitions. Of an identity the last change decides, else its entry stays."""
+        entries = index.slim(index.keyed(self.store.read(*self._data(index), partitions=touched).select("partition_id", *index.fields)), files)
+        before = {"seq": F.lit(None).cast(changes.schema["seq"].dataType), "part": F.lit(-1), "kind": F.lit("insert")}
+        new = self._laid_out(index, entries.withColumns(before).unionByName(changes), tuple(before))
+        self.store.replace_partitions(new, *self._data(index), self._part(index)[0], touched)
+        changes.unpersist()
 
     def partition(self, index: Index, identifier: str) -> DataFrame:
         """The entries of one partition by its identifier; NotFound for one that the index can't have."""
@@ -233,7 +252,7 @@ class Manager:
             raise AlreadyExists(f"already_exists: {index.name}")
         new = collection.add_index(index)
         with self.workflow():
-            self._add(f"write {index.name}", lambda: self._write(index, index.build(base)))
+            self._add(f"write {index.name}", lambda: self._write(index, base))
             self._add(f"save {collection.id}", lambda: self.save(new))
         return new
 
@@ -242,7 +261,7 @@ class Manager:
         index = collection.index(name)
         counts = base.agg(F.count_if(index.complete(base)).alias("succeeded"), F.count_if(~index.complete(base)).alias("failed")).first()
         with self.workflow():
-            self._add(f"write {name}", lambda: self._write(index, index.build(base)))
+            self._add(f"write {name}", lambda: self._write(index, base))
         return counts.asDict()
 
     def drop_index(self, name: str, collection: Collection) -> Collection:
@@ -267,12 +286,14 @@ class Manager:
         changed = []
         with self.workflow():
             for index in map(collection.index, names):
-                delta = index.delta(actions, force).persist()
-                if delta.isEmpty():
-                    delta.unpersist()
-                else:
+                files = self._files(index)
+                changes = index.slim(index.changes(actions, force), files, ("seq", "part", "kind")).persist()
+                touched = self._touched(index, changes)
+                if touched:
                     changed.append(index.name)
-                    self._add(f"write {index.name}", lambda i=index, d=delta: self._apply(i, d))
+                    self._add(f"write {index.name}", lambda i=index, c=changes, t=touched, n=files: self._apply(i, c, t, n))
+                else:
+                    changes.unpersist()
         return changed
 
     def update_all_indices(self, actions: DataFrame, collection: Collection, force: bool = False) -> list[str]:

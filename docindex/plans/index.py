@@ -146,10 +146,14 @@ class Index(ABC):
         best = flat.groupBy(*self.identity).agg(F.max(F.struct(*order, "value", *[c for c in kept if c != "value"])).alias("_best"))
         return best.select(*self.identity, *[F.col("_best")[c].alias(c) for c in ["value", *[c for c in kept if c != "value"]]]).select(*IDENTITY, *self.fields)
 
+    def changes(self, actions: DataFrame, force: bool = False) -> DataFrame:
+        """(seq, part, kind, entry columns): the inserts and deletes of a batch of `actions`, any number on an identity."""
+        flat = normalise(actions, self.distinguished, force).select("seq", "part", "kind", "data.*")
+        return self.leaves(flat, ("seq", "part", "kind"), F.col("kind").isNotNull())
+
     def delta(self, actions: DataFrame, force: bool = False) -> DataFrame:
         """(kind, entry columns): the last action on each identity, of a batch of `actions`."""
-        flat = normalise(actions, self.distinguished, force).select("seq", "part", "kind", "data.*")
-        leaves = self.leaves(flat, ("seq", "part", "kind"), F.col("kind").isNotNull())
+        leaves = self.changes(actions, force)
         rest = [c for c in leaves.columns if c not in self.identity and c not in ("seq", "part", "kind")]
         last = leaves.groupBy(*self.identity).agg(F.max(F.struct("seq", "part", "kind", *rest)).alias("_last"))
         return last.select(F.col("_last.kind").alias("kind"), *self.identity, *[F.col("_last")[c].alias(c) for c in rest]).select("kind", *IDENTITY, *self.fields)
@@ -159,6 +163,15 @@ class Index(ABC):
         kept = entries.join(delta.select(*self.identity), list(self.identity), "left_anti")
         return kept.select(*IDENTITY, *self.fields).unionByName(delta.where("kind = 'insert'").drop("kind"))
 
+    def slim(self, leaves: DataFrame, files: int, carry: Sequence[str] = ()) -> DataFrame:
+        """Leaves without their joined keys, which follow from the fields, but with `_file`, a hash of the identity."""
+        return leaves.select(*carry, "partition_id", F.pmod(F.xxhash64(*self.identity), F.lit(files)).cast("int").alias("_file"), *self.fields)
+
+    def keyed(self, slim: DataFrame) -> DataFrame:
+        """The joined keys put back."""
+        key = lambda fields: gen_key([F.col(f) for f in fields], True, False)  # noqa: E731  the fields have their case already
+        return slim.withColumns({"agg_key": F.coalesce(key(self.agg_fields()), F.lit("")), "index_key": key(self.index_by), "value": F.coalesce(key(self.covered_fields), F.lit(""))})
+
     def by_partition(self, delta: DataFrame) -> DataFrame:
         """A delta in groups by partition, each in the order of its keys; no group is collected."""
         return delta.repartition("partition_id").sortWithinPartitions("partition_id", "agg_key", "index_key", "value")

@@ -17,11 +17,13 @@ def maintain(actions: DataFrame, manager: Manager, collection: Collection, check
     """
 
     def apply(batch: DataFrame, _: int) -> None:
-        held = batch.persist()
+        # Of each index the changes are held, so a batch for one index is read once without being held.
+        held = batch.persist() if collection.size > 1 else batch
         try:
             manager.update_all_indices(held, collection, force)
         finally:
-            held.unpersist()
+            if held.is_cached:
+                held.unpersist()
 
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return actions.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -531,3 +531,33 @@ def test_cursor(spark):
             cursor.move()
         assert len(seen) == 10 and seen == sorted(seen, reverse=descending)
     assert USERS.cursor(entries.where("false")).done
+
+
+def test_normalised_actions_name_each_status_once(spark, tmp_path):
+    """Repeated expressions made methods that the JVM doesn't compile."""
+    things(spark, ("insert", None, ("t2", "a"), None, CHANGED), ("update", ("t1", "a"), ("t3", "a"), CLEAN, CHANGED)).write.parquet(f"{tmp_path}/in")
+    got = changes.normalise(spark.read.parquet(f"{tmp_path}/in"), ["id", "account_id"])
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("array_contains") <= 16
+    assert sorted((r.part, r.kind, r.data.id) for r in got.collect()) == [(0, "delete", "t1"), (1, "insert", "t2"), (1, "insert", "t3")]
+
+
+def test_stored_index_takes_one_shuffle(spark, tmp_path, monkeypatch):
+    store = Store(spark, f"file://{tmp_path}/s")
+    manager, plans = Manager(store), []
+    index = HashIndex("h", "t", ("account_id",), ("id",), partition_by=("account_id",), partitions=1, cardinality="many")
+    stage = store.stage
+
+    def staged(df, *args):
+        if args[1].startswith("t-index_data"):
+            plans.append(df._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0])
+        return stage(df, *args)
+
+    monkeypatch.setattr(store, "stage", staged)
+    base = spark.range(2000).select(F.concat(F.lit("T"), F.col("id").cast("string")).alias("id"), F.lit("A").alias("account_id"))
+    collection = manager.create_index(index, Collection("h", "t"), base.unionAll(base))
+    # Many actions on one identity, of which the last decides, and one on another.
+    rows = [("insert" if i % 2 else "delete", None if i % 2 else ("t1", "a"), ("t1", "a") if i % 2 else None, None if i % 2 else CLEAN, CHANGED if i % 2 else None) for i in range(51)]
+    manager.update_all_indices(things(spark, *rows, ("insert", None, ("t9999", "a"), None, CHANGED)), collection)
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [1, 1]
+    got = {r.id for r in manager.entries(index).collect()}
+    assert got == {f"t{i}" for i in range(2000)} - {"t1"} | {"t9999"} and manager.entries(index).count() == 2000
